@@ -96,8 +96,8 @@ WITH t AS (
   SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s
   FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM t WHERE len(w) >= 3)
 ), n AS (SELECT id, count(*) AS n FROM g GROUP BY id
-), both AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.id < b.id GROUP BY ALL)
-SELECT id_a, id_b FROM both JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE c >= 0.7::DOUBLE * (x.n + y.n - c) - 1e-9
+), shared AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.id < b.id GROUP BY ALL)
+SELECT id_a, id_b FROM shared JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE c >= 0.7::DOUBLE * (x.n + y.n - c) - 1e-9
 """
 
 
