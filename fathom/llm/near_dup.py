@@ -6,14 +6,16 @@ set enters its own band and those of its possible smaller partners. Within a ban
 differ in at most k elements. The hashed domain is cut into n1 > k parts, so the two-level scheme leaves k2 = 0
 differences to its second level and the subsets to enumerate are the single parts: similar sets agree in at
 least n1 - k of them. Each set emits one signature, a hash of its elements there, for every part in which it has
-any. A set with so many empty parts that all the parts on which it agrees with a partner might be empty is
-``open`` and is sent to the fallback as well; a pair can only be missed if both its sets are open.
+any, and pairs that share enough signatures of a band are candidates.
+
+A signature shared by more than ``cap`` different sets is hot and yields no pairs. A set keeps a margin: its parts
+less k, its empty parts and its hot signatures. A similar pair shares at least as many cold signatures as the margin
+of either set, so pairs are candidates from there on, with ``SHARED`` as the least, and a pair can only be missed if
+both margins are below that. Such sets (some in a thousand) are joined among themselves by an exact prefix filter on their rarest elements, in which an element of more than
+``cap`` sets is worked off in blocks. Candidates of both kinds are verified on the whole sets.
 
 Scale. Signatures (two longs) are the only thing shuffled for all records. Sets that are equal are one set from
-the start. A signature shared by more than ``cap`` different sets emits no pairs: its sets go to an exact
-prefix-filter join on their rarest elements instead, in which a prefix element that is itself shared by more than
-``cap`` sets is worked off in blocks. Candidate pairs are pruned by 512-bit parity sketches (the number of differing bits is a
-lower bound of the set difference) before any set is fetched, then verified on the sets.
+the start; no signature yields more than cap^2/2 pairs, and hot ones are streamed, so no group is held in memory.
 
 Defined cases: null ids and null texts are left out; a text of fewer than ``width`` tokens has no runs and no
 partners; an id delivered several times counts once; equal sets under different ids are pairs of similarity 1.
@@ -35,34 +37,31 @@ from fathom.llm.hashing import TokenHasher, mix, shingle_hashes
 from fathom.session import materialize
 
 TOKEN = re.compile(r"[a-z0-9_]+")
-SKETCH_BITS = 512
+#: Signatures of a band that a candidate pair shares.
+SHARED = 3
+#: Up to so many keys (16 MB) are broadcast to pick their sets from the written ones; more are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
 
 
 def shingle_sets(df: DataFrame, id_col: str = "id", text_col: str = "content", width: int = 3) -> DataFrame:
-    """(id, key, n, sketch, elems): the set of each text; ``key`` is a hash of the set, ``elems`` its sorted hashes."""
+    """(id, key, n, elems): the set of each text; ``key`` is a hash of the set, ``elems`` its sorted hashes."""
     rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = TokenHasher()
         for batch in batches:
-            ids, keys, ns, sketches, elems = [], [], [], [], []
+            ids, keys, ns, elems = [], [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 s = np.unique(shingle_hashes(hasher(TOKEN.findall(text.lower())), width))
                 if not len(s):
                     continue
-                m = mix(s)
                 ids.append(i)
-                keys.append(int(m.sum(dtype=np.uint64).view(np.int64)))
+                keys.append(int(mix(s).sum(dtype=np.uint64).view(np.int64)))
                 ns.append(len(s))
-                bits = np.bincount((m % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
-                sketches.append(np.packbits(bits.astype(np.uint8)).tobytes())
                 elems.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.string()), pa.array(keys, pa.int64()), pa.array(ns, pa.int32()), pa.array(sketches, pa.binary()), pa.array(elems, pa.binary())],
-                ["id", "key", "n", "sketch", "elems"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(keys, pa.int64()), pa.array(ns, pa.int32()), pa.array(elems, pa.binary())], ["id", "key", "n", "elems"])
 
-    return rows.mapInArrow(run, "id string, key long, n int, sketch binary, elems binary")
+    return rows.mapInArrow(run, "id string, key long, n int, elems binary")
 
 
 def _bands(n: int, gamma: float) -> Iterator[tuple[int, int, int]]:
@@ -75,44 +74,56 @@ def _bands(n: int, gamma: float) -> Iterator[tuple[int, int, int]]:
         small = max(1, math.ceil(gamma ** -(b + 1) - 1e-9) - 1)  # the largest size on the smaller side
         k = math.floor(share * (small + math.floor(small / gamma + 1e-9)) + 1e-9)
         other = math.floor(n / gamma + 1e-9) if b == top else min(n, small)
-        yield b, math.ceil(1.25 * (k + 1)) + 4, math.floor(share * (n + other) + 1e-9)
+        yield b, math.ceil(1.3 * (k + 1)) + 10, math.floor(share * (n + other) + 1e-9)
 
 
-def signatures(s: np.ndarray, gamma: float) -> tuple[np.ndarray, bool]:
-    """The signatures of a sorted set of hashes, and whether the set is open (see the module's text)."""
+def signatures(s: np.ndarray, gamma: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """The signatures of a sorted set of hashes, each with its band in the low six bits, and (band, margin) of its bands."""
     m = mix(s)
-    out, is_open = [], False
+    out, margins = [], []
     for band, parts, k in _bands(len(s), gamma):
         part = ((s >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-        out.append(np.add.reduceat(m, starts) + mix(part[starts] * np.uint64(1_000_003) + np.uint64(band)))
-        is_open |= parts - len(starts) >= parts - k
-    return np.concatenate(out), is_open
+        sig = np.add.reduceat(m, starts) + mix(part[starts] * np.uint64(1_000_003) + np.uint64(band))
+        out.append((sig & ~_BAND) | np.uint64(band % 64))
+        margins.append((band % 64, len(starts) - k))
+    return np.concatenate(out), margins
+
+
+_BAND = np.uint64(63)
 
 
 def _emit_signatures(gamma: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # equal sets of a task emit once
         for batch in batches:
-            sigs, keys, opens = [], [], []
+            sigs, keys = [], []
             for key, elems in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if key in seen:
                     continue
                 if len(seen) >= 1_000_000:
                     seen.clear()
                 seen.add(key)
-                sg, is_open = signatures(np.frombuffer(elems, np.uint64), gamma)
-                sigs.append(sg)
-                keys.append(np.full(len(sg), key, np.int64))
-                if is_open:
-                    opens.append(key)
+                sig, _ = signatures(np.frombuffer(elems, np.uint64), gamma)
+                sigs.append(sig)
+                keys.append(np.full(len(sig), key, np.int64))
             sig = np.concatenate(sigs).view(np.int64) if sigs else np.empty(0, np.int64)
             key = np.concatenate(keys) if keys else np.empty(0, np.int64)
-            # an open set is a row without signature
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.r_[sig, np.zeros(len(opens), np.int64)], mask=np.r_[np.zeros(len(sig), bool), np.ones(len(opens), bool)]), pa.array(np.r_[key, np.array(opens, np.int64)])],
-                ["sig", "key"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(key)], ["sig", "key"])
+
+    return run
+
+
+def _margins(gamma: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, bands, margins = [], [], []
+            for key, elems in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for band, margin in signatures(np.frombuffer(elems, np.uint64), gamma)[1]:
+                    keys.append(key)
+                    bands.append(band)
+                    margins.append(margin)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(bands, pa.int32()), pa.array(margins, pa.int32())], ["key", "band", "margin"])
 
     return run
 
@@ -120,47 +131,52 @@ def _emit_signatures(gamma: float):
 def _runs(cap: int):
     """From rows sorted by (sig, key): the pairs of each signature, or its sets alone (``b`` null) beyond ``cap``."""
 
-    def flush(sig: np.ndarray, key: np.ndarray, hot: int | None) -> pa.RecordBatch:
-        fresh = np.r_[True, (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])] if len(sig) else np.empty(0, bool)
+    def flush(sig: np.ndarray, key: np.ndarray, hot: bool) -> pa.RecordBatch:
+        fresh = np.r_[True, (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])]
         sig, key = sig[fresh], key[fresh]
-        starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]]) if len(sig) else np.empty(0, np.int64)
+        starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
         lengths = np.diff(np.r_[starts, len(sig)])
-        left, right, alone = [], [], []
-        for size in np.unique(lengths[lengths > 1]):
+        left, right, band, alone = [], [], [], [np.empty(0, np.int64)]
+        for size in np.unique(lengths if hot else lengths[lengths > 1]):
             at = starts[lengths == size]
-            if size > cap:
-                alone += [key[x : x + size] for x in at]
+            if size > cap or hot:
+                alone += [np.arange(x, x + size) for x in at]
                 continue
             i, j = np.triu_indices(int(size), 1)
-            left.append(key[(at[:, None] + i).ravel()])
-            right.append(key[(at[:, None] + j).ravel()])
-        if hot is not None and len(sig):
-            alone.append(key[sig == hot])
-        one = np.concatenate(alone) if alone else np.empty(0, np.int64)
-        a = np.concatenate([*left, one]) if left or alone else one
-        b = np.concatenate([*right, one]) if right or alone else one
-        mask = np.zeros(len(a), bool)
-        mask[len(a) - len(one) :] = True
-        pairs = pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64(), mask=mask)})
-        return pairs.combine_chunks().to_batches()[0] if len(a) else pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["a", "b"])
+            left.append((at[:, None] + i).ravel())
+            right.append((at[:, None] + j).ravel())
+        one = np.concatenate(alone)
+        a, b = np.concatenate([*left, one]), np.concatenate([*right, one])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(key[a]), pa.array(key[b], mask=np.arange(len(b)) >= len(b) - len(one)), pa.array((sig[a] & 63).astype(np.int32))], ["a", "b", "band"]
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig, key, hot = np.empty(0, np.int64), np.empty(0, np.int64), None
+        sig, key = np.empty(0, np.int64), np.empty(0, np.int64)
+        hot = None  # the signature at the end of what was read, once it has too many sets
         for batch in batches:
+            if not batch.num_rows:
+                continue
             sig = np.r_[sig, batch.column(0).to_numpy()]
             key = np.r_[key, batch.column(1).to_numpy()]
-            if not len(sig):
-                continue
+            if hot is not None:
+                rest = np.searchsorted(sig, hot, side="right")
+                if rest:
+                    yield flush(sig[:rest], key[:rest], True)
+                    sig, key = sig[rest:], key[rest:]
+                    if not len(sig):
+                        continue
+                hot = None
             last = np.searchsorted(sig, sig[-1])  # the last signature may go on in the next batch
             if last:
-                yield flush(sig[:last], key[:last], hot)
-                sig, key, hot = sig[last:], key[last:], None
-            if len(sig) > 4 * cap and (hot is not None or len(np.unique(key)) > cap):
-                hot = int(sig[0])  # too many sets already: from here on they pass through
-                yield flush(sig, key, hot)
+                yield flush(sig[:last], key[:last], False)
+                sig, key = sig[last:], key[last:]
+            if len(sig) > cap and len(np.unique(key)) > cap:
+                hot = sig[-1]
+                yield flush(sig, key, True)
                 sig, key = sig[:0], key[:0]
         if len(sig):
-            yield flush(sig, key, hot)
+            yield flush(sig, key, False)
 
     return run
 
@@ -182,19 +198,6 @@ def _verify(gamma: float):
     return run
 
 
-def _differ_bits(batches: Iterator[pa.RecordBatch], gamma: float) -> Iterator[pa.RecordBatch]:
-    """Keep pairs whose sizes and sketches allow the similarity."""
-    ones = np.array([bin(i).count("1") for i in range(256)], np.uint16)
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        a, b, na, nb = (batch.column(i).to_numpy() for i in range(4))
-        sa, sb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(len(a), -1) for i in (4, 5))
-        differ = ones[sa ^ sb].sum(axis=1)
-        may = (np.minimum(na, nb) >= gamma * np.maximum(na, nb) - 1e-9) & (differ <= (1 - gamma) / (1 + gamma) * (na + nb) + 1e-9)
-        yield pa.RecordBatch.from_arrays([pa.array(a[may]), pa.array(b[may])], ["a", "b"])
-
-
 def _prefix(gamma: float):
     """(key, elem, pos) of the elements among which any partner has one: all but ceil(gamma n) + 1 of the rarest."""
 
@@ -221,14 +224,20 @@ def _explode_elems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else [], pa.int64()), pa.array(np.concatenate(out) if out else [], pa.int64())], ["key", "elem"])
 
 
+def _sets_of(sets: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, elems) of the distinct ``keys`` (written before, so they are counted without computing them again)."""
+    if keys.count() <= BROADCAST_KEYS:
+        keys = F.broadcast(keys)
+    return sets.select("key", "elems").join(keys, "key", "left_semi").groupBy("key").agg(F.first("elems").alias("elems"))
+
+
 def _fallback_pairs(sets: DataFrame, some: DataFrame, gamma: float, cap: int) -> DataFrame:
     """Candidate pairs among the sets ``some`` (key): an exact prefix-filter join on their rarest elements.
 
     An element in more than ``cap`` prefixes is worked off in blocks: its sets are dealt to blocks by hash and
     every two blocks meet in a task of their own, so no task holds more than two blocks.
     """
-    own = sets.join(some, "key", "left_semi").groupBy("key").agg(F.first("elems").alias("elems"))
-    own = materialize(own, "fallback")
+    own = materialize(_sets_of(sets, some), "fallback")
     flat = own.mapInArrow(_explode_elems, "key long, elem long")
     df = flat.groupBy("elem").agg(F.count(F.lit(1)).alias("df"))
     order = flat.join(df, "elem").groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "elem"))), lambda x: x["elem"]).alias("elems"))
@@ -245,59 +254,33 @@ def _fallback_pairs(sets: DataFrame, some: DataFrame, gamma: float, cap: int) ->
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def similar_sets(sets: DataFrame, gamma: float = 0.7, cap: int = 64) -> DataFrame:
+def similar_sets(sets: DataFrame, gamma: float = 0.7, cap: int = 16) -> DataFrame:
     """(a, b, similarity): every pair a < b of keys of different sets of similarity >= gamma.
 
     ``sets`` is the materialised result of ``shingle_sets``; ``cap`` only decides which way a pair is found.
     """
-    emitted = sets.select("key", "elems").mapInArrow(_emit_signatures(gamma), "sig long, key long")
-    # rows without signature carry the open sets; each sorts by itself under a spread value
-    rows = emitted.withColumn("spread", F.coalesce("sig", F.col("key"))).repartition("spread").sortWithinPartitions("sig", "key").select("sig", "key")
-    found = materialize(_split_open(rows, cap), "pairs")
-    some = found.where("b is null").select(F.col("a").alias("key")).distinct()
-    pairs = found.where("b is not null")
-    if not some.isEmpty():
-        pairs = pairs.unionByName(_fallback_pairs(sets, some, gamma, cap))
-    pairs = pairs.distinct()
-    small = sets.select("key", "n", "sketch").groupBy("key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    small = materialize(small, "sketches")
-    side = lambda c: small.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
-    near = materialize(near.mapInArrow(lambda it: _differ_bits(it, gamma), "a long, b long"), "near")
-    wanted = near.select(F.col("a").alias("key")).union(near.select("b")).distinct()
-    full = sets.select("key", "elems").join(wanted, "key", "left_semi").groupBy("key").agg(F.first("elems").alias("elems"))
-    full = materialize(full, "sets")
+    rows = sets.select("key", "elems").mapInArrow(_emit_signatures(gamma), "sig long, key long")
+    rows = rows.repartition("sig").sortWithinPartitions("sig", "key")
+    found = materialize(rows.mapInArrow(_runs(cap), "a long, b long, band int"), "shared")
+    hot = found.where("b is null").groupBy(F.col("a").alias("key"), "band").agg(F.count(F.lit(1)).alias("hot"))
+    margins = sets.select("key", "elems").mapInArrow(_margins(gamma), "key long, band int, margin int").distinct()
+    least = margins.join(hot, ["key", "band"], "left").select("key", "band", (F.col("margin") - F.coalesce("hot", F.lit(0))).alias("least"))
+    least = materialize(least, "least")
+    shared = found.where("b is not null").groupBy("a", "b", "band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SHARED)
+    for side in ("a", "b"):
+        shared = shared.join(least.select(F.col("key").alias(side), "band", "least"), [side, "band"]).where("n >= least").drop("least")
+    pairs = shared.select("a", "b")
+    short = materialize(least.where(F.col("least") < SHARED).select("key").distinct(), "short")
+    if not short.isEmpty():
+        pairs = pairs.unionByName(_fallback_pairs(sets, short, gamma, cap))
+    near = materialize(pairs.distinct(), "near")
+    wanted = materialize(near.select(F.col("a").alias("key")).union(near.select("b")).distinct(), "wanted")
+    full = materialize(_sets_of(sets, wanted), "sets")
     both = near.join(full.select(F.col("key").alias("a"), F.col("elems").alias("ea")), "a").join(full.select(F.col("key").alias("b"), F.col("elems").alias("eb")), "b")
     return both.select("a", "b", "ea", "eb").mapInArrow(_verify(gamma), "a long, b long, similarity double")
 
 
-def _split_open(rows: DataFrame, cap: int) -> DataFrame:
-    pairs = _runs(cap)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opens: list[pa.RecordBatch] = []
-
-        def signed() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                null = batch.column(0).null_count
-                if null:  # nulls sort first
-                    opens.append(batch.slice(0, null))
-                    batch = batch.slice(null)
-                yield batch
-
-        for out in pairs(signed()):
-            while opens:
-                k = opens.pop().column(1)
-                yield pa.RecordBatch.from_arrays([k, pa.nulls(len(k), pa.int64())], ["a", "b"])
-            yield out
-        while opens:
-            k = opens.pop().column(1)
-            yield pa.RecordBatch.from_arrays([k, pa.nulls(len(k), pa.int64())], ["a", "b"])
-
-    return rows.mapInArrow(run, "a long, b long")
-
-
-def near_duplicates(df: DataFrame, id_col: str = "id", text_col: str = "content", gamma: float = 0.7, width: int = 3, cap: int = 64) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(df: DataFrame, id_col: str = "id", text_col: str = "content", gamma: float = 0.7, width: int = 3, cap: int = 16) -> tuple[DataFrame, DataFrame]:
     """(members, links): members (id, key) give the set class of every text, links (a, b, similarity) the pairs of classes."""
     sets = materialize(shingle_sets(df, id_col, text_col, width), "shingles")
     links = materialize(similar_sets(sets, gamma, cap), "links")
