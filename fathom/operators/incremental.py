@@ -8,13 +8,14 @@ records come out again; a run that ends publishes all of them at once, so none c
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fathom.sources.pointer import Pointer
+
 
 def canonical_path(path: Column) -> Column:
     """Repository-relative path: forward slashes, no empty or ``.`` parts, no leading ``/`` or ``./``."""
@@ -58,6 +59,14 @@ def select_changed(current: DataFrame, state: DataFrame, key=("repo", "path")) -
     )
 
 
+def actions(current: DataFrame, state: DataFrame, key=("repo", "path")) -> DataFrame:
+    """(key, action) of every key on either side: add, update, skip, or stale where it is only in the state."""
+    old = state.select(*key, F.col("content_hash").alias("_old"))
+    joined = current.select(*key, "content_hash").join(old, list(key), "full")
+    action = F.when(F.col("content_hash").isNull(), "stale").when(F.col("_old").isNull(), "add").when(F.col("_old") == F.col("content_hash"), "skip")
+    return joined.select(*key, action.otherwise("update").alias("action"))
+
+
 def observations(files: DataFrame) -> DataFrame:
     """``indexed_files`` with canonical paths; only the columns that decide what is pending are read."""
     return files.select("repo", canonical_path(F.col("path")).alias("path"), "content_hash", "recorded_at", "rec_id", "processed_at")
@@ -84,23 +93,11 @@ class StateStore:
 
     def __init__(self, spark: SparkSession, root: str, key=("repo", "path")):
         self.spark, self.root, self.key = spark, root.rstrip("/"), tuple(key)
-        self._jvm = spark.sparkContext._jvm
-        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
-
-    def _path(self, name: str):
-        return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        self._pointer = Pointer(spark, f"{self.root}/CURRENT")
 
     def version(self) -> dict | None:
         """The pointer's content, or None before the first commit."""
-        p = self._path("CURRENT")
-        fs = p.getFileSystem(self._conf)
-        if not fs.exists(p):
-            return None
-        stream = fs.open(p)
-        try:
-            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
+        return self._pointer.read()
 
     def read(self) -> DataFrame:
         v = self.version()
@@ -120,16 +117,7 @@ class StateStore:
         rows.write.parquet(f"{self.root}/{after['dir']}")
         if self.version() != before:
             raise ConcurrentCommit(f"state moved from {before} to {self.version()} during the run")
-        tmp, dst = self._path(f"CURRENT.{uuid.uuid4().hex}"), self._path("CURRENT")
-        fs = tmp.getFileSystem(self._conf)
-        out = fs.create(tmp, True)
-        out.write(bytearray(json.dumps(after).encode()))
-        out.close()
-        gateway = self.spark.sparkContext._gateway
-        rename = self._jvm.org.apache.hadoop.fs.Options.Rename
-        opts = gateway.new_array(rename, 1)
-        opts[0] = rename.OVERWRITE
-        self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(tmp.toUri(), self._conf).rename(tmp, dst, opts)
+        self._pointer.swap(after)
         return after
 
 
