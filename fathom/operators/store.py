@@ -15,11 +15,11 @@ from pyspark.sql import types as T
 from fathom.functions.text import matches
 from fathom.operators import search
 from fathom.operators.incremental import actions
-from fathom.schema import CHUNK_SCHEMA, EmbeddingMismatchError
+from fathom.schema import CHUNK_SCHEMA, EmbeddingMismatchError, fields
 from fathom.sources.pointer import Pointer
 
-VECTOR_SCHEMA = T.StructType.fromDDL("id string, embedding array<float>")
-FILE_SCHEMA = T.StructType.fromDDL("repo string, path string, content_hash string")
+VECTOR_SCHEMA = fields("id string, embedding array<float>")
+FILE_SCHEMA = fields("repo string, path string, content_hash string")
 
 
 class Store:

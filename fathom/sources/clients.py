@@ -112,11 +112,15 @@ class HttpEmbedder:
 
 def create_embedder(spec: str, url: str | None = None, key: str = "", transport: Transport = http) -> HttpEmbedder | HashingEmbedder:
     """``provider:model``, parted at the first colon only; a bare model means ollama, ``hashing`` the local stand-in."""
-    provider, _, model = spec.partition(":") if spec.split(":", 1)[0] in ("ollama", "openai", "hashing") else ("ollama", ":", spec)
+    head, _, rest = spec.partition(":")
+    if head in ("ollama", "openai", "hashing"):
+        provider, model = head, rest
+    elif spec in KNOWN_DIMS or ":" not in spec:
+        provider, model = "ollama", spec
+    else:
+        raise ValueError(f"unknown embedding provider {head!r}")
     if provider == "hashing":
         return HashingEmbedder()
-    if spec.count(":") and provider == "ollama" and not spec.startswith("ollama:") and spec not in KNOWN_DIMS and spec.split(":", 1)[0] not in {m.split(":")[0] for m in KNOWN_DIMS}:
-        raise ValueError(f"unknown embedding provider {spec.split(':', 1)[0]!r}")
     if model not in KNOWN_DIMS:
         raise ValueError(f"the dimension of {model!r} is unknown")
     default = "https://api.openai.com/v1" if provider == "openai" else "http://127.0.0.1:11434"
