@@ -11,15 +11,16 @@ CONTINUES = re.compile(r"(?:\.\w|\?[^.]|:\s|&&|\|\||[-+*/%=<>|&^]\s|=>)")
 _REGEX_BEFORE = re.compile(r"(?:^|[=(,:;!&|?{}\[]|\breturn|\bcase|=>)\s*$")
 
 
-def scan(lines: list[str], language: str) -> tuple[list[int], list[bool], list[bool]]:
-    """Bracket depth at the start of each line, whether the line starts inside a string or comment, and whether it is a comment line."""
-    depth, inside, comment = [], [], []
+def scan(lines: list[str], language: str) -> tuple[list[int], list[bool], list[bool], list[int]]:
+    """Bracket depth at the start of each line, whether the line starts inside a string or comment, whether it is a comment line, and the lowest depth on it."""
+    depth, inside, comment, low = [], [], [], []
     level = 0
     stack: list[int] = []  # levels at which a template's ${ } began
     state = ""  # "", "block", "template", '"""', "'''"
     python, go = language == "python", language == "go"
     for line in lines:
         depth.append(level)
+        low.append(level)
         inside.append(state != "")
         s = line.strip()
         comment.append(state == "block" or (state == "" and (s.startswith("#") if python else s.startswith(("//", "/*")))))
@@ -80,12 +81,13 @@ def scan(lines: list[str], language: str) -> tuple[list[int], list[bool], list[b
                 level += 1
             elif c in ")]}":
                 level -= 1
+                low[-1] = min(low[-1], level)
                 if stack and c == "}" and level == stack[-1]:
                     stack.pop()
                     state = "template"
             i += 1
     depth.append(level)
-    return depth, inside, comment
+    return depth, inside, comment, low
 
 
 def indent(line: str) -> int:
@@ -95,11 +97,3 @@ def indent(line: str) -> int:
 def language_family(language: str | None) -> str:
     """``python``, ``go`` or ``braces``."""
     return _FAMILIES.get((language or "").lower(), "braces")
-
-
-def lowest(line: str) -> int:
-    level = low = 0
-    for c in line:
-        level += (c in "([{") - (c in ")]}")
-        low = min(low, level)
-    return low

@@ -10,7 +10,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,7 +53,7 @@ def imports_of(text: str) -> list[str]:
 def _statements(lines: list[str], language: str, first: int, last: int, level: int | None = None) -> list[tuple[int, int]]:
     """(first, last) lines from 0 of the statements between two lines at one bracket level (that of ``first``, if not given)."""
     family = language_family(language)
-    depth, inside, comment = scan(lines, family)
+    depth, inside, comment, _ = scan(lines, family)
     level = depth[first] if level is None else level
     code = [i for i in range(first, last + 1) if lines[i].strip() and not comment[i] and not inside[i]]
     if not code:
@@ -138,7 +138,7 @@ def window_pieces(name: str | None, kind: str | None, lines: list[str], start: i
 def _body_bounds(lines: list[str], language: str) -> tuple[int, int] | None:
     """Lines of the body of a declaration: after the line that opens it, before the one that closes it."""
     family = language_family(language)
-    depth, _, _ = scan(lines, family)
+    depth, *_ = scan(lines, family)
     if family == "python":
         head = next((i for i, x in enumerate(lines) if x.split("#")[0].rstrip().endswith(":") and depth[i + 1] == 0 and not x.lstrip().startswith("@")), None)
         return (head + 1, len(lines) - 1) if head is not None and head + 1 < len(lines) else None
@@ -300,15 +300,22 @@ def chunk_files(files: DataFrame, git_sha: str = "", model: str = "none", dim: i
     """Chunks (CHUNK_SCHEMA) of files (repo, path, text): ignored paths and null texts give none."""
     rows = files.where(should_index(F.col("path"), include_unparsable) & F.col("text").isNotNull()).select("repo", "path", "text", language_for_path(F.col("path")).alias("language"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = "repo string, path string, language string, symbol_name string, symbol_kind string, start_line int, end_line int, content string, imports array<string>"
+    text, number = pa.string(), pa.int32()
+    kinds = [text, text, text, text, text, number, number, text, pa.list_(text)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for repo, path, text, language in batch.itertuples(index=False):
-                uses = imports_of(text) if language else []
-                out += [(repo, path, language or "text", p.name, p.kind, p.start, p.end, p.content, uses) for p in code_pieces(text, language, limit, least)]
-            yield pd.DataFrame(out, columns=["repo", "path", "language", "symbol_name", "symbol_kind", "start_line", "end_line", "content", "imports"])
-
-    pieces = rows.mapInPandas(run, "repo string, path string, language string, symbol_name string, symbol_kind string, start_line int, end_line int, content string, imports array<string>")
+            for row in batch.to_pylist():
+                language = row["language"]
+                uses = imports_of(row["text"]) if language else []
+                for p in code_pieces(row["text"], language, limit, least):
+                    out.append((row["repo"], row["path"], language or "text", p.name, p.kind, p.start, p.end, p.content, uses))
+            columns = list(zip(*out)) or [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [f.split()[0] for f in schema.split(", ")])
+
+    pieces = rows.mapInArrow(run, schema)
     c = F.col
     return pieces.select(
         chunk_id(c("repo"), c("path"), c("start_line"), c("content")).alias("id"), "repo", "path", "language", "symbol_name", "symbol_kind", "start_line", "end_line", "content",

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from fathom.schema import EmbeddingMismatchError
@@ -129,13 +129,12 @@ def create_embedder(spec: str, url: str | None = None, key: str = "", transport:
 
 def embed_column(df: DataFrame, embedder, text: str, prefix: str = "", out: str = "embedding") -> DataFrame:
     """``df`` with a vector for each text, embedded in the tasks, batch by batch."""
-    schema = df.schema
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.assign(**{out: embedder.embed([prefix + (t or "") for t in batch[text]]) if len(batch) else []})
+            vectors = embedder.embed([prefix + (t or "") for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]) if batch.num_rows else []
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(vectors, pa.list_(pa.float32()))], [*batch.schema.names, out])
 
-    return df.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + f", `{out}` array<float>")
+    return df.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{out}` array<float>")
 
 
 @dataclass
@@ -160,19 +159,19 @@ def generate_column(prompts: DataFrame, client) -> DataFrame:
     """(qid, reply, error) of prompts (qid, prompt); a failing call becomes an error of its row, not of the task."""
     kind = dict(prompts.dtypes)["qid"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             replies, errors = [], []
-            for p in batch["prompt"]:
+            for p in batch.column(1).to_pylist():
                 try:
                     replies.append(client.generate(p))
                     errors.append(None)
                 except Exception as e:  # noqa: BLE001
                     replies.append(None)
                     errors.append(str(e) or type(e).__name__)
-            yield pd.DataFrame({"qid": batch["qid"], "reply": replies, "error": errors})
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(replies, pa.string()), pa.array(errors, pa.string())], ["qid", "reply", "error"])
 
-    return prompts.mapInPandas(run, f"qid {kind}, reply string, error string")
+    return prompts.select("qid", "prompt").mapInArrow(run, f"qid {kind}, reply string, error string")
 
 
 @dataclass
