@@ -1,8 +1,8 @@
 """Evaluation texts leaking into training text.
 
 Method. Words are the maximal runs of letters and digits after NFKC and lower-casing. Every run of ``run`` words of
-an item's field must be found, so for every such run its rarest n-gram of ``seed`` words is made a seed; rarity is
-the number of documents of the whole corpus that hold the n-gram. A document that shares a run with an item holds
+an item's field must be found, so for every such run its rarest n-gram of ``seed`` words is made a seed, and with it
+those at most ``near`` times as frequent; rarity is the number of documents of the whole corpus that hold the n-gram. A document that shares a run with an item holds
 the run's seed, so joining documents to items by seeds loses nothing. Around each seed hit the passage of the
 document is aligned with the item by Smith-Waterman over words, which scores exact, edited and paraphrased copies
 alike and gives the longest exactly equal run.
@@ -23,7 +23,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -127,23 +127,23 @@ def _spans(where: list[int], reach: int) -> Iterator[tuple[int, int]]:
     yield lo, hi
 
 
-def _alignments(docs: DataFrame, kind: str, block: ItemBlock, run: int, seed: int, margin: int) -> DataFrame:
+def _alignments(docs: DataFrame, kind: str, block: ItemBlock, run: int, seed: int, margin: int, near: float) -> DataFrame:
     """(doc_id, item_id, field, run_words, score, item_words) of every seed hit of the block's items."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.unique(np.concatenate([block.grams(w) for _, _, w in block.fields] or [np.empty(0, np.int64)]))
         held = np.zeros(len(known), np.int64)
         if len(known):
             for batch in batches:
-                for text in batch["text"]:
+                for text in batch.column(0).to_pylist():
                     g = np.unique(block.grams(block.encode(text)))
                     at = np.searchsorted(known, g)
                     at[at == len(known)] = 0
                     held[at[known[at] == g]] += 1
         some = held > 0
-        yield pd.DataFrame({"gram": known[some], "docs": held[some]})
+        yield pa.RecordBatch.from_arrays([pa.array(known[some]), pa.array(held[some])], ["gram", "docs"])
 
-    counts = docs.select("text").mapInPandas(count, "gram long, docs long").groupBy("gram").agg(F.sum("docs").alias("docs"))
+    counts = docs.select("text").mapInArrow(count, "gram long, docs long").groupBy("gram").agg(F.sum("docs").alias("docs"))
     # at most one row for each n-gram of the block
     df = {r["gram"]: r["docs"] for r in counts.collect()}
     seeds: dict[int, list[int]] = {}
@@ -151,21 +151,19 @@ def _alignments(docs: DataFrame, kind: str, block: ItemBlock, run: int, seed: in
         g = block.grams(w)
         width = run - seed + 1
         freq = np.array([df.get(int(x), 0) for x in g], np.int64)
-        chosen = {int(g[j]) for j in range(len(g)) if len(g) < width and freq[j]}
-        for j in range(max(0, len(g) - width + 1)):
+        chosen: set[int] = set()
+        for j in range(max(1, len(g) - width + 1)):
             part = freq[j : j + width]
-            if (part > 0).all():  # a run with an n-gram that no document holds occurs nowhere
-                chosen.add(int(g[j + int(part.argmin())]))
-            elif (part > 0).any():  # an edited copy may still hold the rarest that occurs
-                chosen.add(int(g[j + int(np.where(part > 0, part, np.iinfo(np.int64).max).argmin())]))
+            if (part > 0).any():  # n-grams that no document holds are no use; near-rarest ones find edited copies
+                chosen.update(g[j + np.flatnonzero((part > 0) & (part <= near * part[part > 0].min()))].tolist())
         for x in chosen:
             seeds.setdefault(x, []).append(i)
 
-    def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = np.array(sorted(seeds), np.int64)
         for batch in batches if len(keys) else ():
-            found: dict[int, list[tuple]] = {}  # field -> (document, passage)
-            for doc, text in zip(batch["doc_id"], batch["text"]):
+            found: dict[int, list[tuple]] = {}  # field -> (document of the batch, passage)
+            for doc, text in enumerate(batch.column(1).to_pylist()):
                 w = block.encode(text)
                 g = block.grams(w)
                 if not len(g):
@@ -188,15 +186,17 @@ def _alignments(docs: DataFrame, kind: str, block: ItemBlock, run: int, seed: in
                     for (doc, _), score, longest in zip(part, *align(block.fields[i][2], [p for _, p in part])):
                         best = out.setdefault((doc, i), [0, 0])
                         best[:] = max(best[0], int(longest)), max(best[1], int(score))
-            yield pd.DataFrame(
-                [(doc, *block.fields[i][:2], longest, score, len(block.fields[i][2])) for (doc, i), (longest, score) in out.items()],
-                columns=["doc_id", "item_id", "field", "run_words", "score", "item_words"],
-            )
+            at = list(out)
+            columns = [batch.column(0).take(pa.array([r for r, _ in at], pa.int64()))]
+            columns += [pa.array([block.fields[i][c] for _, i in at], pa.string()) for c in (0, 1)]
+            columns += [pa.array([v[c] for v in out.values()], pa.int64()) for c in (0, 1)]
+            columns.append(pa.array([len(block.fields[i][2]) for _, i in at], pa.int64()))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "field", "run_words", "score", "item_words"])
 
-    return docs.mapInPandas(hits, f"doc_id {kind}, item_id string, field string, run_words long, score long, item_words long")
+    return docs.mapInArrow(hits, f"doc_id {kind}, item_id string, field string, run_words long, score long, item_words long")
 
 
-def leaks(docs: DataFrame, items: DataFrame, fields: tuple[str, ...] = ("question", "passage"), run: int = 12, seed: int = 7, margin: int = 8,
+def leaks(docs: DataFrame, items: DataFrame, fields: tuple[str, ...] = ("question", "passage"), run: int = 12, seed: int = 7, margin: int = 8, near: float = 4.0,
           block: int = 2_000_000, doc_id: str = "doc_id", text: str = "text", item_id: str = "id") -> DataFrame:
     """(doc_id, item_id, field, run_words, score, item_words, coverage) of every document and item field joined by a seed.
 
@@ -208,7 +208,7 @@ def leaks(docs: DataFrame, items: DataFrame, fields: tuple[str, ...] = ("questio
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null and text is not null and text != ''")
     found = None
     for part in _blocks(items, item_id, fields, block):
-        one = _alignments(rows, kind, ItemBlock(part, seed), run, seed, margin)
+        one = _alignments(rows, kind, ItemBlock(part, seed), run, seed, margin, near)
         found = one if found is None else found.unionByName(one)
     if found is None:
         return docs.sparkSession.createDataFrame([], f"doc_id {kind}, item_id string, field string, run_words long, score long, item_words long, coverage double")

@@ -24,7 +24,6 @@ import sys
 from bisect import insort
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -106,7 +105,7 @@ def rebalance(packed: list[tuple[int, list[int]]], sizes: list[int], capacity: i
     in at most ``sweeps`` rounds, until no window exceeds the capacity or a round changes nothing."""
     for _ in range(sweeps):
         packed.sort(key=lambda w: w[0])
-        if packed[-1][0] <= capacity:
+        if not packed or packed[-1][0] <= capacity:
             break
         changed = False
         for lo in range(len(packed) // 2):
@@ -154,13 +153,14 @@ def pack(df: DataFrame, capacity: int = 2048, block_items: int = 4096, id_col: s
     blocks = max(1, math.ceil(counts.count() / block_items))
     items = items.withColumn("block", F.pmod(F.xxhash64("place"), F.lit(blocks)).cast("int"))
 
-    def run(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("place", ignore_index=True)
-        window = [""] * len(block)
-        for w, (_, members) in enumerate(pack_block(block["tokens"].tolist(), capacity)):
+    def run(key: tuple, block: pa.Table) -> pa.Table:
+        block = block.sort_by("place")
+        tokens, pieces = block["tokens"].to_pylist(), block["piece"].to_pylist()
+        window = [""] * len(tokens)
+        for w, (_, members) in enumerate(pack_block(tokens, capacity)):
             for i in members:
-                window[i] = f"{key[0]}-{w}"
-        return pd.DataFrame({"window": window, "doc_id": block["doc_id"], "piece": block["piece"], "first_token": block["piece"] * capacity, "tokens": block["tokens"]})
+                window[i] = f"{key[0].as_py()}-{w}"
+        return pa.table({"window": window, "doc_id": block["doc_id"], "piece": pieces, "first_token": [p * capacity for p in pieces], "tokens": tokens})
 
-    packed = items.groupBy("block").applyInPandas(run, f"window string, doc_id {kind}, piece long, first_token long, tokens long")
+    packed = items.groupBy("block").applyInArrow(run, f"window string, doc_id {kind}, piece long, first_token long, tokens long")
     return whole.unionByName(packed)
