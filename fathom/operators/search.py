@@ -10,9 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions.text import phrase, query_terms, tokens
+from fathom.session import materialize
 
 K1, B = 1.2, 0.75
 RRF_K = 60
+#: Up to so many (phrase, word) rows of a batch of queries are broadcast; more are joined by a shuffle.
+BROADCAST_WORDS = 500_000
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -23,10 +26,19 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm == 0, 0.0).otherwise(checked)
 
 
-def top_k(hits: DataFrame, k: int | str | Column, by: list[Column], group: str = "qid") -> DataFrame:
+def top_k(hits: DataFrame, k: int, by: list[Column], group: str = "qid") -> DataFrame:
     """The first ``k`` rows of each query with their rank; Spark cuts each partition's share before the shuffle."""
     ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*by)))
-    return ranked.where(F.col("rank") <= (F.col(k) if isinstance(k, str) else k))
+    return ranked.where(F.col("rank") <= k)
+
+
+def top_k_each(hits: DataFrame, queries: DataFrame, qid: str, k: int | str, by: list[Column]) -> DataFrame:
+    """``top_k`` for a number, or for a column of ``queries``: first to the greatest k, which Spark can cut early, then to each query's own."""
+    if not isinstance(k, str):
+        return top_k(hits, k, by)
+    most = queries.agg(F.max(k)).first()[0] or 0
+    own = queries.select(F.col(qid).alias("qid"), F.col(k).alias("_k"))
+    return top_k(hits, most, by).join(own, "qid").where(F.col("rank") <= F.col("_k")).drop("_k")
 
 
 def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2", block: int = 2048) -> DataFrame:
@@ -93,23 +105,17 @@ def knn_overfetch(queries: DataFrame, vectors: DataFrame, k: int, keep: Column,
     return top_k(kept, k, [F.col("score").desc(), F.col("vid")]).select("qid", "vid", "score", "rank")
 
 
-def postings(docs: DataFrame, doc: str, columns: tuple[str, ...]) -> DataFrame:
-    """(doc, col, pos, term) of every token; positions count within a column."""
-    parts = []
-    for i, c in enumerate(columns):
-        parts.append(docs.select(F.col(doc).alias("doc"), F.lit(i).alias("col"), F.posexplode(tokens(F.coalesce(F.col(c), F.lit("")))).alias("pos", "term")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def _tokens_by_column(docs: DataFrame, doc: str, columns: tuple[str, ...]) -> DataFrame:
+    """(doc, dl, parts): the tokens of each indexed column, and how many there are in all; every text is tokenised once."""
+    parts = F.array(*[tokens(F.coalesce(F.col(c), F.lit(""))) for c in columns])
+    rows = docs.select(F.col(doc).alias("doc"), parts.alias("parts"))
+    return rows.select("doc", F.aggregate("parts", F.lit(0), lambda n, p: n + F.size(p)).alias("dl"), "parts")
 
 
-def document_lengths(docs: DataFrame, doc: str, columns: tuple[str, ...]) -> DataFrame:
-    """(doc, dl): tokens over all indexed columns."""
-    size = F.lit(0)
-    for c in columns:
-        size = size + F.size(tokens(F.coalesce(F.col(c), F.lit(""))))
-    return docs.select(F.col(doc).alias("doc"), size.alias("dl"))
+def postings(docs: DataFrame, doc: str, columns: tuple[str, ...]) -> DataFrame:
+    """(doc, dl, col, pos, term) of every token; positions count within a column."""
+    rows = _tokens_by_column(docs, doc, columns).select("doc", "dl", F.posexplode("parts").alias("col", "part"))
+    return rows.select("doc", "dl", "col", F.posexplode("part").alias("pos", "term"))
 
 
 def phrases(queries: DataFrame, qid: str, text: str) -> DataFrame:
@@ -129,23 +135,26 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int | str, qid: str = "qid", te
     """
     ph = phrases(queries, qid, text)
     words = ph.select("ph", F.size("words").alias("n"), F.posexplode("words").alias("off", "term")).distinct()
+    few = words.count() <= BROADCAST_WORDS
+    if few:  # then postings of other words are dropped where they arise
+        words = F.broadcast(words)
     hits = postings(docs, doc, columns).join(words, "term").withColumn("at", F.col("pos") - F.col("off"))
-    single = hits.where("n = 1").groupBy("ph", "doc").agg(F.count(F.lit(1)).alias("tf"))
-    many = hits.where("n > 1").groupBy("ph", "doc", "col", "at", "n").agg(F.count(F.lit(1)).alias("m")).where("m = n").groupBy("ph", "doc").agg(F.count(F.lit(1)).alias("tf"))
-    tf = single.unionByName(many)
+    # a single word needs no place; the words of a phrase meet where it would begin
+    place = [F.when(F.col("n") > 1, F.col(c)).alias(c) for c in ("col", "at")]
+    met = hits.groupBy("ph", "doc", "dl", "n", *place).agg(F.count(F.lit(1)).alias("m")).where("n = 1 or m = n")
+    found = met.groupBy("ph", "doc", "dl").agg(F.sum(F.when(F.col("n") == 1, F.col("m")).otherwise(1)).alias("tf"))
+    # written once, as the frequencies and the scores both read it, and by document, so that sums need little shuffle
+    tf = materialize(found.repartition("doc"), "tf")
     df = tf.groupBy("ph").agg(F.count(F.lit(1)).alias("df"))
-    lengths = document_lengths(docs, doc, columns)
-    stats = lengths.agg(F.count(F.lit(1)).alias("N"), F.avg("dl").alias("avgdl"))
+    stats = _tokens_by_column(docs, doc, columns).agg(F.count(F.lit(1)).alias("N"), F.avg("dl").alias("avgdl"))
     idf = F.greatest(F.log((F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     gain = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    weighed = tf.join(df, "ph").join(lengths, "doc").crossJoin(F.broadcast(stats)).select("ph", "doc", gain.alias("gain"))
+    weighed = tf.join(df, "ph").crossJoin(F.broadcast(stats)).select("ph", "doc", gain.alias("gain"))  # stats is one row
     if keep is not None:
         weighed = weighed.join(keep, "doc", "left_semi")
-    scored = ph.select("qid", "ph", "weight").join(weighed, "ph").groupBy("qid", "doc").agg(F.round(F.sum(F.col("weight") * F.col("gain")), 9).alias("raw"))
-    if isinstance(k, str):
-        scored = scored.join(queries.select(F.col(qid).alias("qid"), F.col(k).alias("_k")), "qid")
-        k = "_k"
-    best = top_k(scored, k, [F.col("raw").desc(), F.col("doc")])
+    asked = ph.select("qid", "ph", "weight")
+    scored = (F.broadcast(asked) if few else asked).join(weighed, "ph").groupBy("qid", "doc").agg(F.round(F.sum(F.col("weight") * F.col("gain")), 9).alias("raw"))
+    best = top_k_each(scored, queries, qid, k, [F.col("raw").desc(), F.col("doc")])
     return best.select("qid", "doc", (F.col("raw") / (1 + F.col("raw"))).alias("score"), "rank")
 
 
@@ -193,10 +202,7 @@ def keyword_overlap(queries: DataFrame, docs: DataFrame, k: int | str, qid: str
         return queries.sparkSession.createDataFrame([], "qid string, doc string, score double, rank int")
     scored = weights.join(found, "term").groupBy("qid", "doc").agg(F.sum("w").alias("hit")).join(total, "qid")
     scored = scored.select("qid", "doc", (F.col("hit") / F.col("total")).alias("score"))
-    if isinstance(k, str):
-        scored = scored.join(queries.select(F.col(qid).alias("qid"), F.col(k).alias("_k")), "qid")
-        k = "_k"
-    return top_k(scored, k, [F.col("score").desc(), F.col("doc")]).select("qid", "doc", "score", "rank")
+    return top_k_each(scored, queries, qid, k, [F.col("score").desc(), F.col("doc")]).select("qid", "doc", "score", "rank")
 
 
 def rrf(rankings: DataFrame, k: int | str | None = None, constant: int = RRF_K) -> DataFrame:

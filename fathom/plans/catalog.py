@@ -379,8 +379,7 @@ def bm25(spark, d):
     return out.select("qid", "doc", F.round("score", 7).alias("score"), F.col("rank").cast("int").alias("rank"))
 
 
-@query(f"""WITH {C}, PQ AS (SELECT DISTINCT id AS pid, replace(trim(regexp_replace(regexp_replace(symbol_name, '([A-Z])', ' \\1', 'g'), '[^A-Za-z0-9]+', ' ', 'g')), ' ', '_') AS query FROM questions q, C WHERE false),
-PS AS (SELECT qid, list_aggregate(list_transform(regexp_extract_all(query, '[a-z]+_[a-z]+[a-z_]*'), lambda x: x), 'string_agg', ' ') AS query FROM searches WHERE regexp_matches(query, '[a-z]+_[a-z]+')), {bm25_sql("C", "id", _CODE, "PS", "qid", "query")}
+@query(f"""WITH {C}, PS AS (SELECT qid, list_aggregate(list_transform(regexp_extract_all(query, '[a-z]+_[a-z]+[a-z_]*'), lambda x: x), 'string_agg', ' ') AS query FROM searches WHERE regexp_matches(query, '[a-z]+_[a-z]+')), {bm25_sql("C", "id", _CODE, "PS", "qid", "query")}
 SELECT qid, doc, round(raw, 7) AS raw FROM BM""")
 def bm25_phrase(spark, d):
     """Only the underscored terms of the searches, each a phrase of adjacent tokens: all chunks that hold one."""
@@ -644,7 +643,8 @@ def baseline_compare(spark, d):
     """The keyword run against the ceiling as its baseline."""
     q = _questions(spark, d)
     ceiling = evaluate.per_question(q, evaluate.retrieved_files(evaluate.oracle_hits(q)))
-    out = evaluate.compare_baseline(evaluate.means(ceiling), evaluate.means(_scores(spark, d)))
+    run = materialize(_scores(spark, d), "scores")
+    out = evaluate.compare_baseline(evaluate.means(materialize(ceiling, "ceiling")), evaluate.means(run))
     return out.select("metric", *[F.round(c, 9).alias(c) for c in ("before", "after", "delta")], "verdict")
 
 
