@@ -7,7 +7,7 @@ the run's seed, so joining documents to items by seeds loses nothing. Around eac
 document is aligned with the item by Smith-Waterman over words, which scores exact, edited and paraphrased copies
 alike and gives the longest exactly equal run.
 
-Scale. Items are few and held out; they are read in blocks of at most ``block`` words of items, and each block's
+Scale. Items are few and held out; they are read in blocks of about ``block`` characters, and each block's
 tables, whose size that bounds, go to the tasks while every document streams past them once: no shuffle of the
 corpus. Documents are reduced to the item vocabulary first, so all matching is on integers. Only the seed counts
 and the hits are shuffled, and counts are combined before the shuffle.

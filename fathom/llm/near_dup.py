@@ -15,7 +15,8 @@ both margins are below that. Such sets (some in a thousand) are joined among the
 ``cap`` sets is worked off in blocks. Candidates of both kinds are verified on the whole sets.
 
 Scale. Signatures (two longs) are the only thing shuffled for all records. Sets that are equal are one set from
-the start; no signature yields more than cap^2/2 pairs, and hot ones are streamed, so no group is held in memory.
+the start; no signature yields more than cap^2/2 pairs. A signature that a task finds hot is no longer sent to its
+group, and groups are streamed, so boilerplate in a third of all records makes neither a large group nor a long task.
 
 Defined cases: null ids and null texts are left out; a text of fewer than ``width`` tokens has no runs and no
 partners; an id delivered several times counts once; equal sets under different ids are pairs of similarity 1.
@@ -93,23 +94,36 @@ def signatures(s: np.ndarray, gamma: float) -> tuple[np.ndarray, list[tuple[int,
 _BAND = np.uint64(63)
 
 
-def _emit_signatures(gamma: float):
+def _emit_signatures(gamma: float, cap: int):
+    """(sig, key, band) of the sets of a task. Once a signature is seen to be hot, it is no longer sent to its group:
+    its sets come out as rows without signature, so that no group grows beyond ``cap + 1`` rows a batch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # equal sets of a task emit once
+        hot = np.empty(0, np.int64)
         for batch in batches:
-            sigs, keys = [], []
+            if len(seen) >= 1_000_000:
+                seen.clear()  # between batches, so that a batch holds no set twice
+            sigs, keys = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
             for key, elems in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if key in seen:
                     continue
-                if len(seen) >= 1_000_000:
-                    seen.clear()
                 seen.add(key)
                 sig, _ = signatures(np.frombuffer(elems, np.uint64), gamma)
                 sigs.append(sig)
                 keys.append(np.full(len(sig), key, np.int64))
-            sig = np.concatenate(sigs).view(np.int64) if sigs else np.empty(0, np.int64)
-            key = np.concatenate(keys) if keys else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(key)], ["sig", "key"])
+            sig, key = np.concatenate(sigs).view(np.int64), np.concatenate(keys)
+            order = np.argsort(sig, kind="stable")
+            sig, key = sig[order], key[order]
+            fresh = np.r_[True, sig[1:] != sig[:-1]] if len(sig) else np.empty(0, bool)
+            starts = np.flatnonzero(fresh)
+            place = np.arange(len(sig)) - starts[np.cumsum(fresh) - 1] if len(sig) else starts
+            spared = place > cap
+            if len(hot):
+                spared |= np.isin(sig, hot)
+            if len(hot) < 100_000:
+                hot = np.union1d(hot, sig[place > cap])
+            yield pa.RecordBatch.from_arrays([pa.array(sig, mask=spared), pa.array(key), pa.array((sig & 63).astype(np.int32))], ["sig", "key", "band"])
 
     return run
 
@@ -155,6 +169,10 @@ def _runs(cap: int):
         sig, key = np.empty(0, np.int64), np.empty(0, np.int64)
         hot = None  # the signature at the end of what was read, once it has too many sets
         for batch in batches:
+            spared = batch.column(0).null_count  # they sort first
+            if spared:
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(0, spared), pa.nulls(spared, pa.int64()), batch.column(2).slice(0, spared)], ["a", "b", "band"])
+                batch = batch.slice(spared)
             if not batch.num_rows:
                 continue
             sig = np.r_[sig, batch.column(0).to_numpy()]
@@ -259,8 +277,8 @@ def similar_sets(sets: DataFrame, gamma: float = 0.7, cap: int = 16) -> DataFram
 
     ``sets`` is the materialised result of ``shingle_sets``; ``cap`` only decides which way a pair is found.
     """
-    rows = sets.select("key", "elems").mapInArrow(_emit_signatures(gamma), "sig long, key long")
-    rows = rows.repartition("sig").sortWithinPartitions("sig", "key")
+    rows = sets.select("key", "elems").mapInArrow(_emit_signatures(gamma, cap), "sig long, key long, band int")
+    rows = rows.repartition(F.coalesce("sig", "key")).sortWithinPartitions("sig", "key")
     found = materialize(rows.mapInArrow(_runs(cap), "a long, b long, band int"), "shared")
     hot = found.where("b is null").groupBy(F.col("a").alias("key"), "band").agg(F.count(F.lit(1)).alias("hot"))
     margins = sets.select("key", "elems").mapInArrow(_margins(gamma), "key long, band int, margin int").distinct()

@@ -62,6 +62,24 @@ def test_small_caps_use_the_exact_fallback(spark):
         assert pairs(spark, rows, cap=cap) == want
 
 
+def test_hot_signatures_leave_their_group():
+    import numpy as np
+    import pyarrow as pa
+
+    from fathom.llm.hashing import mix
+
+    shared = mix(np.arange(1, 200, dtype=np.uint64))
+    sets = [np.unique(np.r_[shared, mix(np.arange(1000 * i, 1000 * i + 20, dtype=np.uint64))]) for i in range(1, 60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sets)), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "elems"])
+    out = pa.Table.from_batches(near_dup._emit_signatures(0.7, 4)(iter([batch, batch.slice(0, 0)])))
+    rows = out.to_pylist()
+    per = {}
+    for r in rows:
+        per.setdefault(r["sig"], []).append(r["key"])
+    assert max(len(v) for k, v in per.items() if k is not None) == 5 and len(per[None]) > 100
+    assert len(rows) == sum(len(near_dup.signatures(s, 0.7)[0]) for s in sets)
+
+
 def test_defined_cases(spark):
     t = "alpha beta gamma delta epsilon zeta"
     rows = [("a", t), ("b", t.upper()), ("c", "ALPHA, beta; gamma--delta epsilon/zeta!"), ("a", t), (None, t), ("n", None), ("e", ""), ("s", "two words"), ("u", "日本語 だけ"), ("o", "one two three")]
