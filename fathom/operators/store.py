@@ -1,7 +1,8 @@
-"""The chunk store: versioned snapshots of chunks, vectors and file hashes under one folder.
+"""The chunk store: chunks, vectors and file hashes under one folder, as a list of parts.
 
-Every change writes the tables of the next version beside the old ones and publishes them together by swapping
-one pointer file, so a reader sees either all of a change or none, and a run that dies leaves the old version.
+Every change writes one part (new rows, and the ids that it removes from earlier parts) and publishes it by swapping
+one pointer file, so a reader sees either all of a change or none, and a run that dies leaves the old version. The cost
+of a change follows its size, not the store's; when there are ``COMPACT_AT`` parts, the next change merges them.
 """
 
 from __future__ import annotations
@@ -20,6 +21,9 @@ from fathom.sources.pointer import Pointer
 
 VECTOR_SCHEMA = fields("id string, embedding array<float>")
 FILE_SCHEMA = fields("repo string, path string, content_hash string")
+GONE_SCHEMA = fields("id string")
+#: So many parts are read together before a change merges them.
+COMPACT_AT = 8
 
 
 class Store:
@@ -35,11 +39,29 @@ class Store:
             if meta["prefix"] != prefix:
                 raise ValueError("the index was built with another document prefix; delete it and index again")
 
-    def _read(self, name: str, schema: T.StructType) -> DataFrame:
+    def _parts(self) -> list[str]:
         meta = self._pointer.read()
-        if not meta:
+        return meta["parts"] if meta else []
+
+    def _part(self, part: str, name: str, schema: T.StructType) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{part}/{name}")
+
+    def _read(self, name: str, schema: T.StructType) -> DataFrame:
+        """The rows of all parts that no later part removed."""
+        parts = self._parts()
+        if not parts:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{meta['dir']}/{name}")
+        rows = gone = None
+        for n, part in enumerate(parts):
+            own = self._part(part, name, schema).withColumn("_n", F.lit(n))
+            rows = own if rows is None else rows.unionByName(own)
+            if n:
+                out = self._part(part, "gone", GONE_SCHEMA).withColumn("_gone", F.lit(n))
+                gone = out if gone is None else gone.unionByName(out)
+        if gone is None:
+            return rows.drop("_n")
+        last = gone.groupBy("id").agg(F.max("_gone").alias("_gone"))
+        return rows.join(last, "id", "left").where(F.col("_gone").isNull() | (F.col("_n") >= F.col("_gone"))).select(*schema.names)
 
     def chunks(self) -> DataFrame:
         return self._read("chunks", CHUNK_SCHEMA)
@@ -48,15 +70,31 @@ class Store:
         return self._read("vectors", VECTOR_SCHEMA)
 
     def files(self) -> DataFrame:
-        return self._read("files", FILE_SCHEMA)
-
-    def _publish(self, chunks: DataFrame, vectors: DataFrame, files: DataFrame) -> None:
-        place = f"v-{uuid.uuid4().hex}"
-        # a repository's filter then reads its own folders only; hashes spread a large repository over files
-        chunks.select(*CHUNK_SCHEMA.names).write.partitionBy("repo").parquet(f"{self.root}/{place}/chunks")
-        vectors.select(*VECTOR_SCHEMA.names).write.parquet(f"{self.root}/{place}/vectors")
-        files.select(*FILE_SCHEMA.names).write.parquet(f"{self.root}/{place}/files")
-        self._pointer.swap({"dir": place, "model": self.model, "dim": self.dim, "prefix": self.prefix})
+        """The hash recorded last for each file."""
+        parts = self._parts()
+        if not parts:
+            return self.spark.createDataFrame([], FILE_SCHEMA)
+        rows = None
+        for n, part in enumerate(parts):
+            own = self._part(part, "files", FILE_SCHEMA).withColumn("_n", F.lit(n))
+            rows = own if rows is None else rows.unionByName(own)
+        if len(parts) == 1:
+            return rows.drop("_n")
+        return rows.groupBy("repo", "path").agg(F.max_by("content_hash", "_n").alias("content_hash"))
+
+    def _publish(self, parts: list[str], chunks: DataFrame, vectors: DataFrame, files: DataFrame, gone: DataFrame) -> None:
+        part = f"p-{uuid.uuid4().hex}"
+        # a repository's filter then reads its own folders only
+        chunks.select(*CHUNK_SCHEMA.names).write.partitionBy("repo").parquet(f"{self.root}/{part}/chunks")
+        vectors.select(*VECTOR_SCHEMA.names).write.parquet(f"{self.root}/{part}/vectors")
+        files.select(*FILE_SCHEMA.names).write.parquet(f"{self.root}/{part}/files")
+        gone.select("id").distinct().write.parquet(f"{self.root}/{part}/gone")
+        self._pointer.swap({"parts": [*parts, part], "model": self.model, "dim": self.dim, "prefix": self.prefix})
+
+    def compact(self) -> None:
+        """Merge all parts into one."""
+        if len(self._parts()) > 1:
+            self._publish([], self.chunks(), self.vectors(), self.files(), self.spark.createDataFrame([], GONE_SCHEMA))
 
     def check(self, chunks: DataFrame) -> None:
         """Raise if a chunk was embedded by another model, in another dimension, or has a vector of another length."""
@@ -72,17 +110,18 @@ class Store:
         if new is not None:
             self.check(new)
             new = new.dropDuplicates(["id"])
-        chunks, vectors, known = self.chunks(), self.vectors(), self.files()
+        if len(self._parts()) >= COMPACT_AT:
+            self.compact()
+        empty = lambda schema: self.spark.createDataFrame([], schema)
+        gone = empty(GONE_SCHEMA)
         if drop_files is not None:
-            gone = chunks.join(drop_files, ["repo", "path"], "left_semi").select("id")
-            chunks, vectors = chunks.join(drop_files, ["repo", "path"], "left_anti"), vectors.join(gone, "id", "left_anti")
+            gone = gone.unionByName(self.chunks().join(drop_files, ["repo", "path"], "left_semi").select("id"))
         if new is not None:
-            ids = new.select("id")
-            chunks = chunks.join(ids, "id", "left_anti").unionByName(new.drop("embedding"))
-            vectors = vectors.join(ids, "id", "left_anti").unionByName(new.select("id", "embedding"))
-        if files is not None:
-            known = known.join(files.select("repo", "path"), ["repo", "path"], "left_anti").unionByName(files.select("repo", "path", "content_hash"))
-        self._publish(chunks, vectors, known)
+            gone = gone.unionByName(new.select("id"))
+        chunks = new.drop("embedding") if new is not None else empty(CHUNK_SCHEMA)
+        vectors = new.select("id", "embedding") if new is not None else empty(VECTOR_SCHEMA)
+        known = files.select("repo", "path", "content_hash") if files is not None else empty(FILE_SCHEMA)
+        self._publish(self._parts(), chunks, vectors, known, gone)
 
     def upsert(self, chunks: DataFrame) -> None:
         self.apply(new=chunks)

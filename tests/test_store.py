@@ -37,6 +37,15 @@ def test_upsert_delete_stats(spark, store):
     assert store.has_path_prefix("src/") and not store.has_path_prefix("s_c") and not store.has_path_prefix("SRC")
 
 
+def test_many_changes_are_merged(spark, store):
+    for i in range(10):
+        store.upsert(frame(spark, chunk("a", content=f"v{i}"), chunk(f"b{i}")))
+    assert len(store._parts()) <= 8 and store.stats()["chunks"] == 11 == store.stats()["vectors"]
+    assert store.get_by_ids(["a"])[0]["content"] == "v9"
+    store.compact()
+    assert len(store._parts()) == 1 and store.stats()["chunks"] == 11
+
+
 def test_mismatches(spark, store):
     store.upsert(frame(spark, chunk("a")))
     with pytest.raises(EmbeddingMismatchError):
