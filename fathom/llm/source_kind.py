@@ -139,11 +139,11 @@ def content_kind(text: str) -> str | None:
     if _MACHINE_HINT.search(text):
         lines = sum(1 for x in text.split("\n") if len(x.strip()) > 3 and not x.lstrip().startswith(("//", "#", "*", "/*")))
         machine = sum(1 for _ in _MACHINE_LINE.finditer(text))
-        if machine >= 4 and machine >= 0.5 * lines:
+        if machine >= 4 and machine >= 0.85 * lines:  # less is a short table among other statements
             return GENERATED
     blob = sum(len(m.group()) for m in _BLOB.finditer(text))
     numbers = sum(len(m.group()) for m in _NUMBERS.finditer(text))
-    if blob + numbers >= 0.6 * n:
+    if blob + numbers >= 0.75 * n:
         return DATA
     if (m := _RECORDS.search(text)) and len(m.group()) >= 0.8 * n and text.count('":') * 12 > n / 4:
         return DATA

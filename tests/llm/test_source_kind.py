@@ -27,6 +27,7 @@ def test_paths(path, want):
     (HAND, None), ("// Copyright (c) 2022 the tower-cover-36 team. mask graph\n" + HAND, None), ("// rows generated by the lens service, do not edit the order below\n" + HAND, None),
     ("// minified bundle of x is loaded from vendor/y at start\n" + HAND, None), ('out.push("// Code generated by x. DO NOT EDIT.");\n' + HAND, None), ("", None),
     ("".join(f'  someName_{i} = "UPPER_CASE_{i}",\n' for i in range(9)), GENERATED), ("".join(f"export interface ThingMsg{i} {{ a?: B; c: string; }}\n" for i in range(9)), GENERATED),
+    ("".join(f'  someName_{i} = "UPPER_{i}",\n' for i in range(8)) + HAND, None),
     ("export const A = [\n" + "  0x6c, 0xf4, 0x5a, 0x63, 0x97, 0x3e, 0xc4, 0xf4,\n" * 9 + "];\n", DATA), ('export const B = "' + "aZ09+/b" * 60 + '";\n', DATA),
     ("var x = mustDecode(`[" + ",".join(f'{{"id":{i},"name":"some words","code":"{i}"}}' for i in range(30)) + "]`)\n", DATA),
     ("const table = [\n  1, 2, 3, 4, 5, 6, 7, 8, 9, 10,\n];\n" + HAND, None), ("const t = {\n" + "".join(f'  "name {i}": ("words here", 0.{i}),\n' for i in range(20)) + "}\n", None),
