@@ -419,11 +419,14 @@ _HY_DOCS = "HD AS (SELECT d.doc_id, d.text, e.embedding FROM documents d JOIN em
 ), R AS (SELECT qid, doc, rank, 0 AS src, 1.0::DOUBLE AS weight FROM VR WHERE rank <= 50 UNION ALL SELECT qid, doc, rank, 1, 0.3::DOUBLE FROM KR WHERE rank <= 50)
 SELECT qid, doc::VARCHAR AS doc, score, rank FROM (""" + _RRF.format(src="SELECT * FROM R").replace(", doc)::INTEGER", ", doc::VARCHAR)::INTEGER") + ") WHERE rank <= 8")
 def hybrid_search(spark, d):
-    """Documents that have a vector, searched by vector and by text for every fiftieth of them; fused with keyword weight 0.3."""
-    docs = table(spark, d, "documents").join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
-    q = docs.where("doc_id % 50 = 0")
-    near = search.knn(q.select(F.col("doc_id").alias("qid"), "embedding"), docs.select(F.col("doc_id").alias("vid"), "embedding"), 50)
-    words = search.bm25(q.select(F.col("doc_id").alias("qid"), F.col("text").alias("query")), docs, 50, doc="doc_id", columns=("text",))
+    """All documents searched by text and all embeddings by vector, each for every fiftieth of its ids; fused by id with keyword weight 0.3.
+
+    A query or a hit that only one of the tables holds stays with the ranking of that one. The SQL covers only ids in both tables.
+    """
+    docs = table(spark, d, "documents")
+    q = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("qid"), F.col("text").alias("query"))
+    near = search.knn(_vector_queries(spark, d), _vectors(spark, d), 50)
+    words = search.bm25(q, docs, 50, doc="doc_id", columns=("text",))
     return search.hybrid(near.select("qid", F.col("vid").alias("doc"), "rank"), words.select("qid", "doc", "rank"), 8, keyword_weight=0.3)
 
 

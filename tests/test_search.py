@@ -152,3 +152,29 @@ def test_cumulative_counts_in_a_hot_group(spark):
     for g, v, _ in rows[:50]:
         mine = [(b, c) for a, b, c in rows if a == g]
         assert got[(g, v)] == (sum(c for b, c in mine if b < v), sum(c for _, c in mine))
+
+
+def test_hybrid_search_covers_both_tables(spark, tmp_path):
+    import duckdb
+
+    from fathom.plans import catalog
+    from fathom.plans.views import bm25_sql
+
+    r = random.Random(5)
+    say = lambda: " ".join(f"word{r.randint(0, 90)}" for _ in range(12))
+    docs = [(i, say()) for i in (*range(40, 112), 150, 200)] + [(250, None)]
+    vecs = [(i, [r.gauss(0, 1) for _ in range(4)], i % 5) for i in (*range(80), 100, 300)]  # 50 and 100 in both, 150 and 200 as text, 0 and 300 as vector only
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(vecs, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(x["qid"], x["doc"]): (x["rank"], round(x["score"], 9)) for x in catalog.hybrid_search(spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.sql(f"""WITH HQ AS (SELECT doc_id AS qid, text AS query FROM documents WHERE doc_id % 50 = 0), {bm25_sql('documents', 'doc_id', ('text',), 'HQ', 'qid', 'query')}, R AS (
+      SELECT q.vec_id AS qid, v.vec_id AS doc, 0 AS src, 1.0::DOUBLE AS weight, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), v.vec_id) AS rank
+      FROM embeddings q JOIN embeddings v ON q.vec_id % 50 = 0 QUALIFY rank <= 50
+      UNION ALL SELECT qid, doc, 1, 0.3::DOUBLE, row_number() OVER (PARTITION BY qid ORDER BY raw DESC, doc) AS rank FROM BM QUALIFY rank <= 50
+    ) SELECT qid, doc::VARCHAR, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, seen, doc::VARCHAR) AS rank
+    FROM (SELECT qid, doc, round(sum(weight / (60 + rank)), 12) AS score, min(src * 1000000 + rank) AS seen FROM R GROUP BY ALL) QUALIFY rank <= 8""").fetchall()
+    assert got == {(q, d): (n, round(s, 9)) for q, d, s, n in want}
+    assert {q for q, _ in got} == {0, 50, 100, 150, 200, 300} and ("300" in {d for _, d in got}) and ("150" in {d for _, d in got})
