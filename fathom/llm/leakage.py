@@ -1,18 +1,17 @@
 """Evaluation texts leaking into training text.
 
-Method. Words are the maximal runs of letters and digits after NFKC and lower-casing. Every run of ``run`` words of
-an item's field must be found, so for every such run its rarest n-gram of ``seed`` words is made a seed, and with it
-those at most ``near`` times as frequent; rarity is the number of documents of the whole corpus that hold the n-gram. A document that shares a run with an item holds
-the run's seed, so joining documents to items by seeds loses nothing. Around each seed hit the passage of the
-document is aligned with the item by Smith-Waterman over words, which scores exact, edited and paraphrased copies
-alike and gives the longest exactly equal run.
+Method. Words are the maximal runs of letters and digits after NFKC and lower-casing. Every n-gram of ``seed`` words
+of an item's field is a seed, however frequent it is in the corpus. A document that shares a longer run of words
+with an item holds all seeds of the run, so joining documents to items by seeds loses nothing, and an edited copy is
+joined as long as ``seed`` successive words of it are left. Around each seed hit the passage of the document is
+aligned with the item by Smith-Waterman over words, which scores exact, edited and paraphrased copies alike and
+gives the longest exactly equal run.
 
 Scale. Items are few and held out; they are read in blocks of about ``block`` characters, and each block's
 tables, whose size that bounds, go to the tasks while every document streams past them once: no shuffle of the
-corpus. Documents are reduced to the item vocabulary first, so all matching is on integers. Only the seed counts
-and the hits are shuffled, and counts are combined before the shuffle.
+corpus. Documents are reduced to the item vocabulary first, so all matching is on integers. Nothing is shuffled.
 
-Defined cases: null texts and ids are left out; a field of fewer than ``run`` words can only leak by alignment;
+Defined cases: null texts and ids are left out; a field of fewer than ``seed`` words joins nothing;
 a document counts once per item however often a copy occurs in it; no documents or no items give no rows.
 """
 
@@ -68,6 +67,14 @@ class ItemBlock:
         g[bad] = -1
         return g
 
+    def seeds(self) -> dict[int, list[int]]:
+        """The fields that hold each n-gram."""
+        out: dict[int, list[int]] = {}
+        for i, (_, _, w) in enumerate(self.fields):
+            for x in np.unique(self.grams(w)).tolist():
+                out.setdefault(x, []).append(i)
+        return out
+
     def encode(self, text: str) -> np.ndarray:
         get = self.vocab.get
         ws = words(text)
@@ -127,39 +134,11 @@ def _spans(where: list[int], reach: int) -> Iterator[tuple[int, int]]:
     yield lo, hi
 
 
-def _alignments(docs: DataFrame, kind: str, block: ItemBlock, run: int, seed: int, margin: int, near: float) -> DataFrame:
+def _alignments(docs: DataFrame, kind: str, block: ItemBlock, margin: int) -> DataFrame:
     """(doc_id, item_id, field, run_words, score, item_words) of every seed hit of the block's items."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unique(np.concatenate([block.grams(w) for _, _, w in block.fields] or [np.empty(0, np.int64)]))
-        held = np.zeros(len(known), np.int64)
-        if len(known):
-            for batch in batches:
-                for text in batch.column(0).to_pylist():
-                    g = np.unique(block.grams(block.encode(text)))
-                    at = np.searchsorted(known, g)
-                    at[at == len(known)] = 0
-                    held[at[known[at] == g]] += 1
-        some = held > 0
-        yield pa.RecordBatch.from_arrays([pa.array(known[some]), pa.array(held[some])], ["gram", "docs"])
-
-    counts = docs.select("text").mapInArrow(count, "gram long, docs long").groupBy("gram").agg(F.sum("docs").alias("docs"))
-    # at most one row for each n-gram of the block
-    df = {r["gram"]: r["docs"] for r in counts.collect()}
-    seeds: dict[int, list[int]] = {}
-    for i, (_, _, w) in enumerate(block.fields):
-        g = block.grams(w)
-        width = run - seed + 1
-        freq = np.array([df.get(int(x), 0) for x in g], np.int64)
-        chosen: set[int] = set()
-        for j in range(max(1, len(g) - width + 1)):
-            part = freq[j : j + width]
-            if (part > 0).any():  # n-grams that no document holds are no use; near-rarest ones find edited copies
-                chosen.update(g[j + np.flatnonzero((part > 0) & (part <= near * part[part > 0].min()))].tolist())
-        for x in chosen:
-            seeds.setdefault(x, []).append(i)
-
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds = block.seeds()
         keys = np.array(sorted(seeds), np.int64)
         for batch in batches if len(keys) else ():
             found: dict[int, list[tuple]] = {}  # field -> (document of the batch, passage)
@@ -196,19 +175,19 @@ def _alignments(docs: DataFrame, kind: str, block: ItemBlock, run: int, seed: in
     return docs.mapInArrow(hits, f"doc_id {kind}, item_id string, field string, run_words long, score long, item_words long")
 
 
-def leaks(docs: DataFrame, items: DataFrame, fields: tuple[str, ...] = ("question", "passage"), run: int = 12, seed: int = 7, margin: int = 8, near: float = 4.0,
+def leaks(docs: DataFrame, items: DataFrame, fields: tuple[str, ...] = ("question", "passage"), seed: int = 7, margin: int = 8,
           block: int = 2_000_000, doc_id: str = "doc_id", text: str = "text", item_id: str = "id") -> DataFrame:
     """(doc_id, item_id, field, run_words, score, item_words, coverage) of every document and item field joined by a seed.
 
     ``run_words`` is the longest run of equal words, ``score`` the Smith-Waterman score (2 a match, -1 a mismatch or
-    gap), ``coverage`` the score as a share of that of a whole copy. A document leaks an item exactly when
-    ``run_words >= run``; an edited copy shows in ``coverage``.
+    gap), ``coverage`` the score as a share of that of a whole copy. A document holds a run of n >= ``seed``
+    words of an item exactly when ``run_words >= n``; an edited copy shows in ``coverage``.
     """
     kind = dict(docs.select(F.col(doc_id).alias("i")).dtypes)["i"]
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null and text is not null and text != ''")
     found = None
     for part in _blocks(items, item_id, fields, block):
-        one = _alignments(rows, kind, ItemBlock(part, seed), run, seed, margin, near)
+        one = _alignments(rows, kind, ItemBlock(part, seed), margin)
         found = one if found is None else found.unionByName(one)
     if found is None:
         return docs.sparkSession.createDataFrame([], f"doc_id {kind}, item_id string, field string, run_words long, score long, item_words long, coverage double")

@@ -87,3 +87,11 @@ def test_edited_copy_scores_high(spark):
     got = {r["doc_id"]: (r["run_words"], round(r["coverage"], 2)) for r in rows}
     assert got[1][0] == 8 and got[1][1] > 0.8 and got[2] == (60, 1.0) and 3 not in got
     assert MATCH == 2
+
+
+def test_popular_edited_copies_are_found(spark):
+    base = [f"unique{i}" for i in range(60)]
+    edited = " ".join(x if i % 9 else "changed" for i, x in enumerate(base))
+    rows = run(spark, [(0, " ".join(base)), *[(i, edited) for i in range(1, 13)]], [("q", "short", " ".join(base))])
+    got = {r["doc_id"]: r["coverage"] for r in rows}
+    assert set(got) == set(range(13)) and min(got.values()) > 0.8
