@@ -147,13 +147,11 @@ def content_kind(text: str) -> str | None:
         return DATA
     if (m := _RECORDS.search(text)) and len(m.group()) >= 0.8 * n and text.count('":') * 12 > n / 4:
         return DATA
-    longest = max(map(len, text.split("\n")))
-    if longest >= 200:
-        bare = _STRING.sub('""', text)
-        spaces = sum(bare.count(c) for c in " \t\n\r")
+    bare = _STRING.sub('""', text)
+    spaces = sum(bare.count(c) for c in " \t\n\r")
+    if spaces < 0.1 * len(bare):  # wrapped or not
         words = _WORDS.findall(bare)
-        short = sum(1 for w in words if len(w) <= 2)
-        if len(words) >= 20 and spaces < 0.1 * len(bare) and short >= 0.4 * len(words):
+        if len(words) >= 20 and sum(1 for w in words if len(w) <= 2) >= 0.4 * len(words):
             return COMPACTED
     return None
 

@@ -68,3 +68,9 @@ def test_one_chunk_is_enough_and_defined_cases(spark):
     got = run(spark, rows + rows)
     assert {k: v[0] for k, v in got.items()} == {("r", "a.ts"): GENERATED, ("r", "vendor/x/c.ts"): VENDORED, ("r", "f.ts"): DATA}
     assert run(spark, []) == {}
+
+
+def test_wrapped_compacted_code_of_one_chunk(spark):
+    code = "!function(e,t){" + "a.x=function(b){for(var c=0;c<b.length;c++)d.push(b[c])},var e=t[9],f=e.g(e);" * 8 + "}({});"
+    wrapped = "\n".join(code[i : i + 150] for i in range(0, len(code), 150))
+    assert run(spark, [("r", "src/a.js", wrapped), ("r", "src/b.js", HAND)]) == {("r", "src/a.js"): (COMPACTED, None)}
