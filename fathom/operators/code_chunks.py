@@ -40,6 +40,10 @@ _KINDS = {"class": "class", "interface": "interface", "type": "type", "enum": "t
 _FUNCTION_VALUE = re.compile(r"=\s*(?:async\s+)?(?:function\b|(?:<[^>]*>\s*)?\([^()]*(?:\([^()]*\)[^()]*)*\)\s*(?::[^=]+)?=>|[\w$]+\s*=>)")
 _CALL_WITH_FUNCTION = re.compile(r"(?:^|=\s*|await\s+)[\w$.]+(?:<[^>]*>)?\((?:[^()]*,)?\s*(?:async\s+)?(?:function\b|\([^()]*(?:\([^()]*\)[^()]*)*\)\s*(?::[^=]+)?=>|[\w$]+\s*=>)", re.M)
 _DATA_VALUE = re.compile(r"=\s*(?:[\[{`]|.*\b(?:as|satisfies)\b)", re.S)
+_PART = re.compile(r"""//[^\n]*|/\*.*?(?:\*/|\Z)|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`|[()\[\]{}]|[^"'`/()\[\]{}]+|.""", re.S)
+_ASSIGN = re.compile(r"(?<![=!<>])=(?![=>])")
+_ARROW = re.compile(r"=\s*(?:async\s+)?(?:function\b|(?:<[^=]*>\s*)?\(\)\s*(?::[^=]+)?=>|[\w$]+\s*=>)")
+_HEADER = re.compile(r"import\b|from\s|package\s")
 _CALLEE = re.compile(r"([\w$.]+)(?:<[^>]*>)?\(")
 _IMPORT = re.compile(r"^\s*(?:import\s+(?:[^'\"\n]*?from\s+)?['\"]([^'\"\n]+)['\"]|(from\s+[\w.]+\s+import\s+[^\n]*|import\s+[\w., ]+)$)", re.M)
 _METHOD = re.compile(r"(?:(?:public|private|protected|static|async|get|set|override|readonly)\s+)*(?:\*\s*)?(?P<name>[#\w$]+)\s*(?:<[^>]*>)?\(|(?:async\s+)?def\s+(?P<py>\w+)")
@@ -76,6 +80,22 @@ def _statements(lines: list[str], language: str, first: int, last: int, level: i
     return out
 
 
+def _value(body: str) -> str:
+    """A declaration from its top-level ``=`` on, without comments and what stands in brackets, strings and templates."""
+    out, level = [], 0
+    for m in _PART.finditer(body):
+        x = m.group()
+        if x in (")", "]", "}"):
+            level -= 1
+        if level <= 0 and not x.startswith(("//", "/*")):
+            out.append(x[0] + x[-1] if len(x) > 1 and x[0] in "\"'`" else x)
+        if x in ("(", "[", "{"):
+            level += 1
+    flat = "".join(out)
+    m = _ASSIGN.search(flat)
+    return flat[m.start() :] if m else ""
+
+
 def _declaration(text: str, language: str) -> tuple[str | None, str, bool] | None:
     """(name, kind, exported) of a top-level statement that makes a chunk, or None."""
     family = language_family(language)
@@ -96,6 +116,10 @@ def _declaration(text: str, language: str) -> tuple[str | None, str, bool] | Non
             kind = "function"
         elif exported and _DATA_VALUE.search(body[:400]):
             return name, "constant", exported
+        elif _ARROW.match(value := _value(body)):  # the tests above see its beginning only
+            kind = "function"
+        elif exported and _DATA_VALUE.match(value):
+            return name, "constant", exported
         else:
             return None
     else:
@@ -272,16 +296,20 @@ def fold_pieces(lines: list[str], limit: int) -> list[Piece]:
 
 
 def code_pieces(text: str, language: str | None, limit: int = 3000, least: int = 120) -> list[Piece]:
-    """The chunks of one file."""
+    """The chunks of one file. Beside declarations, other statements go through the text fold, but for imports and short lines."""
     lines = text.split("\n")
     out: list[Piece] = []
+    declared = False
     if language:
         for a, b in _statements(lines, language, 0, len(lines) - 1, 0):
             body = lines[a : b + 1]
             content = "\n".join(body)
             found = _declaration(content, language)
             if not found:
+                if (b > a or len(content) >= least) and not _HEADER.match(content):
+                    out += [Piece(p.name, p.kind, a + p.start, a + p.end, p.content) for p in fold_pieces(body, limit)]
                 continue
+            declared = True
             name, kind, _ = found
             pieces: list[Piece] = []
             if len(content) > limit:
@@ -293,7 +321,7 @@ def code_pieces(text: str, language: str | None, limit: int = 3000, least: int =
                     pieces = _split_function(name, kind, body, a + 1, language, limit)
                 pieces = pieces or window_pieces(name, kind, body, a + 1, limit)
             out += pieces or [Piece(name, kind, a + 1, b + 1, content)]
-    return merge_tiny_pieces(out or fold_pieces(lines, limit), least)
+    return merge_tiny_pieces(out if declared else fold_pieces(lines, limit), least)
 
 
 def chunk_files(files: DataFrame, git_sha: str = "", model: str = "none", dim: int = 0, limit: int = 3000, least: int = 120, include_unparsable: bool = False) -> DataFrame:

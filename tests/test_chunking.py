@@ -130,3 +130,15 @@ def test_chunk_files(spark):
     assert out[0]["embedding_text"].startswith("File: src/a.tsx\n") and out[0]["embedding_dim"] == 4
     assert {r["path"] for r in chunk_files(df, include_unparsable=True).collect()} == {"src/a.tsx", "d.css"}
     assert chunk_files(df.limit(0)).count() == 0
+
+
+def test_long_heads_and_other_statements_are_kept():
+    props = ",\n".join(f"  someProperty{i} = fallback({i})" for i in range(30))
+    fields = ";\n".join(f"  someField{i}: string" for i in range(30))
+    panel = f"export const Panel = ({{\n{props}\n}}: PanelProps) => {{\n  return 1;\n}};\n"
+    table = f"export const table: {{\n{fields}\n}} = {{\n  a: 1,\n}};\n"
+    other = "router.register({\n  path: '/a',\n});\n"
+    text = "import {\n  x,\n} from 'y';\nfunction f() {\n  return 1;\n}\n" + panel + table + other + "const MAX = 5;\n"
+    got = [(p.name, p.kind, p.start, p.end) for p in code_pieces(text, "tsx")]
+    assert got == [("f", "function", 4, 6), ("Panel", "component", 7, 40), ("table", "constant", 41, 74), (None, "file", 75, 77)]
+    assert code_pieces(text, "tsx")[-1].content == other.strip()
