@@ -91,6 +91,7 @@ _BLOB = re.compile(r"(?:[A-Za-z0-9+/=_-]|\\n){120,}|(?:^[A-Za-z0-9+/=]{40,}\r?$\
 _NUMBERS = re.compile(r"(?:[-+]?(?:0x[0-9a-fA-F]+|\d[\d_]*\.?\d*(?:[eE][-+]?\d+)?)\s*,\s*){6,}")
 _RECORDS = re.compile(r"""[(=]\s*[`'"]\s*[\[{]\s*(?:\{\s*)?\\?".*""", re.S)
 _STRING = re.compile(r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'')
+_LINE = re.compile(r"[^\n]+")
 _SIGNIFICANT = re.compile(r"[A-Za-z]{3}")
 
 
@@ -109,8 +110,8 @@ def path_kind(path: str) -> str | None:
 def _leading_comments(text: str) -> list[str]:
     out = []
     block = False
-    for line in text.split("\n", 24)[:24]:
-        s = line.strip()
+    for m in _LINE.finditer(text):
+        s = m.group().strip()
         if not s:
             continue
         if block:

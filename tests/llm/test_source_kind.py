@@ -74,3 +74,10 @@ def test_wrapped_compacted_code_of_one_chunk(spark):
     code = "!function(e,t){" + "a.x=function(b){for(var c=0;c<b.length;c++)d.push(b[c])},var e=t[9],f=e.g(e);" * 8 + "}({});"
     wrapped = "\n".join(code[i : i + 150] for i in range(0, len(code), 150))
     assert run(spark, [("r", "src/a.js", wrapped), ("r", "src/b.js", HAND)]) == {("r", "src/a.js"): (COMPACTED, None)}
+
+
+def test_notice_far_down_the_leading_comment():
+    words = "".join(f" * about part {i} of it\n" for i in range(60))
+    assert content_kind(f"/*\n{words} * @generated by x from y.schema\n */\n" + HAND) == GENERATED
+    assert content_kind("// note\n" * 60 + "// kit@1.2.3 - copied from upstream, MIT\n" + HAND) == VENDORED
+    assert content_kind(f"/*\n{words} */\n{HAND}// @generated by x from y.schema\n") is None
