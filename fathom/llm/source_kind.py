@@ -6,13 +6,14 @@ make an inverted index. A chunk of a file not yet found that shares enough lines
 looked up by its rare lines (those in at most ``rare`` different third-party files) and gets its exact containment
 in each such file: the share of its significant lines that occur there. Containment of at least ``containment``
 makes it a vendored copy, which finds edited copies without notice or tell-tale path in other repositories. Lines
-in more files than that (a library with many variants) count together.
+in more files than that (a library with many variants) are counted in each variant: the files with the same such lines.
 
 Code of the company's own people stays: notices count only in the forms that third parties use, similarity counts
 only to files known to be third-party, and composition must hold for most of a chunk.
 
 Scale. Only line hashes are shuffled. Copies of one third-party file are one file in the index, a line is one row
-of it, and only rare lines are expanded to files, so neither a popular library nor a common line makes a hot key.
+of it, and only rare lines are expanded to files, popular ones to variants, and those only for the chunks that hold
+enough of them.
 A file's lines are bounded by the file.
 
 Defined cases: rows without repo or path are left out; null or empty content leaves the path rules; repeated rows
@@ -209,8 +210,13 @@ def source_kinds(df: DataFrame, containment: float = 0.6, rare: int = 20, least_
         "chunk", (F.size(F.array_intersect("lines", "whole")) / F.size("lines")).alias("share"), F.size("lines").alias("size")
     )
     exact = exact.where((F.col("share") >= containment) & (F.col("share") * F.col("size") >= least_lines)).select("chunk", "share")
-    # lines in more than ``rare`` variants of third-party files speak for themselves
-    popular = part.select("chunk", (F.col("hot") / F.col("size")).alias("share")).where(F.col("share") >= containment)
+    # a file without a rare line of the chunk can hold its popular ones only; files with the same popular lines are one variant
+    variants = index.join(known.where(common).select("line"), "line").groupBy("file").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    variants = variants.select(F.xxhash64("lines").alias("variant"), "lines").dropDuplicates(["variant"]).select("variant", F.explode("lines").alias("line"))
+    most = part.where(F.col("hot") >= containment * F.col("size")).select("chunk")
+    most = candidates.join(most, "chunk", "left_semi").select("chunk", F.size("lines").alias("size"), F.explode("lines").alias("line"))
+    most = most.join(variants, "line").groupBy("chunk", "variant", "size").agg(F.count(F.lit(1)).alias("shared"))
+    popular = most.where((F.col("shared") >= containment * F.col("size")) & (F.col("shared") >= least_lines)).select("chunk", (F.col("shared") / F.col("size")).alias("share"))
     copies = exact.unionByName(popular).groupBy("chunk").agg(F.max("share").alias("containment"))
     found = rest.select("repo", "path", "chunk").join(copies, "chunk").groupBy("repo", "path").agg(F.max("containment").alias("containment"))
     return ruled.select("repo", "path", "kind", F.lit(None).cast("double").alias("containment")).unionByName(

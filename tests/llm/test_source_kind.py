@@ -81,3 +81,12 @@ def test_notice_far_down_the_leading_comment():
     assert content_kind(f"/*\n{words} * @generated by x from y.schema\n */\n" + HAND) == GENERATED
     assert content_kind("// note\n" * 60 + "// kit@1.2.3 - copied from upstream, MIT\n" + HAND) == VENDORED
     assert content_kind(f"/*\n{words} */\n{HAND}// @generated by x from y.schema\n") is None
+
+
+def test_popular_lines_of_many_libraries_are_no_copy(spark):
+    libs = [library(10 + i) for i in range(3)]
+    rows = [(f"r{i}-{j}", "vendor/kit/a.ts", "\n".join([*lib, f"const only{j} = variant{j}(of{i});"])) for i, lib in enumerate(libs) for j in range(9)]
+    mixed = "\n".join(x for lib in libs for x in lib[:10])
+    copy = "\n".join(libs[1][:24] + library(20, 6))
+    got = run(spark, [*rows, ("s", "src/mixed.ts", mixed), ("s", "src/copy.ts", copy)], rare=5)
+    assert ("s", "src/mixed.ts") not in got and got[("s", "src/copy.ts")] == (VENDORED, 0.8)
