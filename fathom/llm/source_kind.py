@@ -1,19 +1,19 @@
 """Generated, compacted, vendored and data files among stored source chunks.
 
-Method. One pass gives each chunk the verdict of the path rules, of the notices in its leading comments and of
-token-composition rules, and the hashes of its significant lines. The lines of the files found to be third-party
-make an inverted index. A chunk of a file not yet found that shares enough lines with all of them together is
-looked up by its rare lines (those in at most ``rare`` different third-party files) and gets its exact containment
-in each such file: the share of its significant lines that occur there. Containment of at least ``containment``
-makes it a vendored copy, which finds edited copies without notice or tell-tale path in other repositories. Lines
-in more files than that (a library with many variants) are counted in each variant: the files with the same such lines.
-
-Code of the company's own people stays: notices count only in the forms that third parties use, similarity counts
-only to files known to be third-party, and composition must hold for most of a chunk.
-
-Scale. Only line hashes are shuffled. Copies of one third-party file are one file in the index, a line is one row
-of it, and only rare lines are expanded to files, popular ones to variants, and those only for the chunks that hold
-enough of them.
+Method. One pass gives each chunk what its path, the notices in its leading comments and its token composition show,
+and the hashes of its significant lines. The lines of the chunks of all repositories make an inverted index. A line
+of at most ``rare`` chunks is rare; rare lines lead every chunk, known to be foreign or not, to the foreign files (by
+path or notice) that may hold it, and the exact containment is the share of its significant lines that one such file
+has (common lines lead to two files only, and see below). A chunk of which ``containment`` or more stands in a foreign file is a copy of it, edited or not. A file without
+evidence of its own is found in this way alone; for the others it tells which are copies across repositories. What
+no foreign file holds is left to the rules of composition: templates filled in by a program, compacted code, data.
+
+Containment alone does not show which side is foreign: people of one company copy code between repositories too. So
+a group of copies in which no member has a notice or a tell-tale path stays.
+
+Scale. Only line hashes are shuffled. Chunks with the same lines are one class and foreign files with the same lines
+one file, a line is one row of the index, and only rare lines are expanded to files. Lines that are not rare (a library
+with many variants) are counted in each variant, the files with the same such lines, for the chunks which hold enough of them.
 A file's lines are bounded by the file.
 
 Defined cases: rows without repo or path are left out; null or empty content leaves the path rules; repeated rows
@@ -71,22 +71,13 @@ _NOTICE_VENDORED = re.compile(
     re.X,
 )
 
-# Lines as code-writing tools print them: numbered names, wire tags, accessors by position, slot classes.
-_MACHINE_LINE = re.compile(
-    r"""^[ \t]*(?:
-      (?:export\ const\ |exports\.|const\ |var\ )?[A-Za-z]\w*_\d+\ ?(?:[:=]\ ?"[A-Z][A-Z0-9_]*",?|=\ \(\w+(?::\ \w+)?\)\ =>\ \w+\.(?:get|put|post|patch|delete)\b.*)
-    | (?:export\ )?(?:interface|type)\ \w+?Msg\d+\b.*
-    | [A-Z]\w*\ +[*\[\]\w.]+\ `\w+:"[^"`]*,\d+,[^`]*`
-    | [A-Z]\w*_[A-Z]\w*\ +[A-Z]\w*\ =\ \d+
-    | func\ \(x\ \*\w+\)\ Get\w+\(\)\ [\w\[\]*.]+\ \{ | return\ x\.[A-Z]\w* | return\ _\w+_default_\d+ | if\ x\ !=\ nil\ \{
-    | \$root\.\w+\ =\ .*
-    | def\ get_\w+\(msg\): | return\ msg\._raw\[\d+\].*
-    | class\ \w+\(_Base\): | __slots__\ =\ \(.* | _tag\ =\ \d+
-    | \w+\ =\ \w+\.\w+\(name='\w+',\ number=\d+,\ type=.*
-    )[ \t\r]*$""",
-    re.X | re.M,
-)
-_MACHINE_HINT = re.compile(r'_\d+ ?[:=]|Msg\d|`\w+:"|_[A-Z]\w* \w+ = \d|func \(x \*|^\$root\.|msg\._raw|_Base\)|number=\d', re.M)
+# A line as token classes: identifiers and dotted names are one class, numbers and strings another, marks stay.
+_TOKEN = re.compile(r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|`(?:[^`\\]|\\.)*`|[A-Za-z_$][\w$]*|\d[\w.]*|[^\s\w]")
+_COMMENT = re.compile(r"[ \t]*(?://|#|\*|/\*|--|<!--)")
+_REMARK = re.compile(r"[ \t]+(?://|#)[^\"'`]*$|/\*[^*]*\*/")
+_WIDTH = re.compile(r"(?:u?int|float|complex)\d+$")
+_MODIFIERS = frozenset("*&?[]!")
+_ALIKE = re.compile(r"((?:a:)?[a0\"],?;?)(?:\1)+")
 _WORDS = re.compile(r"[A-Za-z_$][\w$]*")
 _BLOB = re.compile(r"(?:[A-Za-z0-9+/=_-]|\\n){120,}|(?:^[A-Za-z0-9+/=]{40,}\r?$\n?)+", re.M)
 _NUMBERS = re.compile(r"(?:[-+]?(?:0x[0-9a-fA-F]+|\d[\d_]*\.?\d*(?:[eE][-+]?\d+)?)\s*,\s*){6,}")
@@ -128,33 +119,95 @@ def _leading_comments(text: str) -> list[str]:
     return out
 
 
-def content_kind(text: str) -> str | None:
-    """What the notices and the token composition of a chunk show, or None."""
+def _shape(line: str) -> tuple[str, list[str], set[str], bool, bool]:
+    """(token classes, identifiers, numbers at the end of names, whether a plain integer stands in the line, whether a
+    number with a point, a separator or a unit does) of a line of code."""
+    out: list[str] = []
+    names = []
+    numbered: set[str] = set()
+    plain = measured = False
+    for t in _TOKEN.findall(line):
+        c = t[0]
+        if c in "\"'`":
+            out.append('"')
+            plain = plain or (c == "`" and any(map(str.isdigit, t)))
+        elif c.isdigit():
+            out.append("0")
+            if t.isdigit():
+                plain = True
+            else:
+                measured = True
+        elif c.isalpha() or c in "_$":
+            if not out or out[-1] != "a":
+                out.append("a")
+            names.append(t)
+            if t[-1].isdigit() and len(t) > 3 and not _WIDTH.match(t):
+                numbered.add(t[len(t.rstrip("0123456789")) :])
+        elif c not in _MODIFIERS and not (c == "." and out and out[-1] == "a"):
+            out.append(c)
+    return _ALIKE.sub(r"\1", "".join(out)), names, numbered, plain, measured
+
+
+def template_share(text: str, period: int = 6, least_records: int = 4) -> float:
+    """How far the code of ``text`` is one template filled in again and again, from 0 to 1.
+
+    The lines are read as records of 1 to ``period`` lines. The result is the least of three shares, for the best
+    period: lines whose token classes recur one period on, records that carry a tag (one number at the end of names,
+    or else a plain integer) and no measured number, and records that bring identifiers not seen before. People write
+    tables too, but with settings, strings or names that recur; a program that numbers its output shows in all three.
+    Fewer than ``least_records`` records prove nothing.
+    """
+    lines = [x for x in text.split("\n") if x.strip() and not _COMMENT.match(x)]
+    if len(lines) < least_records:
+        return 0.0
+    shapes = [_shape(_REMARK.sub("", x)) for x in lines]
+    best = 0.0
+    for p in range(1, min(period, len(lines) // least_records) + 1):
+        pairs = len(lines) - p
+        recurs = sum(shapes[i][0] == shapes[i + p][0] for i in range(pairs)) / pairs
+        if recurs <= best:
+            continue
+        seen: set[str] = set()
+        records = tagged = fresh = 0
+        for i in range(0, pairs + 1, p):
+            own = shapes[i : i + p]
+            names = {x for s in own for x in s[1]}
+            numbers = {x for s in own for x in s[2]}
+            records += 1
+            tagged += (len(numbers) == 1 if numbers else any(s[3] for s in own)) and not any(s[4] for s in own)
+            fresh += not names <= seen
+            seen |= names
+        best = max(best, min(recurs, tagged / records, fresh / records))
+    return best
+
+
+def content_kind(text: str, template: float = 0.9, least_chars: int = 80) -> tuple[str, str] | None:
+    """(kind, ``notice`` or ``composition``) of a chunk by its notices and its token composition, or None.
+
+    ``least_chars`` keeps short literals from being data; notices and templates count whatever the length.
+    """
     for s in _leading_comments(text):
         if _NOTICE_GENERATED.match(s):
-            return GENERATED
+            return GENERATED, "notice"
         if _NOTICE_VENDORED.match(s):
-            return VENDORED
+            return VENDORED, "notice"
     n = len(text)
-    if n < 80:
+    if template_share(text) >= template:
+        return GENERATED, "composition"
+    if n < least_chars:
         return None
-    if _MACHINE_HINT.search(text):
-        lines = sum(1 for x in text.split("\n") if len(x.strip()) > 3 and not x.lstrip().startswith(("//", "#", "*", "/*")))
-        machine = sum(1 for _ in _MACHINE_LINE.finditer(text))
-        if machine >= 4 and machine >= 0.85 * lines:  # less is a short table among other statements
-            return GENERATED
     blob = sum(len(m.group()) for m in _BLOB.finditer(text))
     numbers = sum(len(m.group()) for m in _NUMBERS.finditer(text))
     if blob + numbers >= 0.75 * n:
-        return DATA
+        return DATA, "composition"
     if (m := _RECORDS.search(text)) and len(m.group()) >= 0.8 * n and text.count('":') * 12 > n / 4:
-        return DATA
+        return DATA, "composition"
     bare = _STRING.sub('""', text)
     spaces = sum(bare.count(c) for c in " \t\n\r")
     if spaces < 0.1 * len(bare):  # wrapped or not
         words = _WORDS.findall(bare)
         if len(words) >= 20 and sum(1 for w in words if len(w) <= 2) >= 0.4 * len(words):
-            return COMPACTED
+            return COMPACTED, "composition"
     return None
 
 
@@ -168,57 +221,88 @@ def _lines(text: str) -> list[int]:
     return list(out)
 
 
-def chunk_verdicts(df: DataFrame, repo="repo", path="path", content="content") -> DataFrame:
-    """(repo, path, kind, lines) of each chunk."""
+def chunk_verdicts(df: DataFrame, repo="repo", path="path", content="content", template: float = 0.9) -> DataFrame:
+    """(repo, path, kind, way, lines) of each chunk; data and compacted chunks have no lines worth comparing."""
     rows = df.select(F.col(repo).alias("repo"), F.col(path).alias("path"), F.col(content).alias("content")).where("repo is not null and path is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds, lines = [], []
+            kinds, ways, lines = [], [], []
             for p, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                kinds.append(path_kind(p) or (content_kind(text) if text else None))
-                lines.append(_lines(text) if text and kinds[-1] in (None, VENDORED) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kinds, pa.string()), pa.array(lines, pa.list_(pa.int64()))], ["repo", "path", "kind", "lines"])
+                by_path = path_kind(p)
+                kind, way = (by_path, "path") if by_path else (content_kind(text, template) if text else None) or (None, None)
+                kinds.append(kind)
+                ways.append(way)
+                lines.append(_lines(text) if text and kind not in (COMPACTED, DATA) else [])
+            columns = [batch.column(0), batch.column(1), pa.array(kinds, pa.string()), pa.array(ways, pa.string()), pa.array(lines, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["repo", "path", "kind", "way", "lines"])
+
+    return rows.mapInArrow(run, "repo string, path string, kind string, way string, lines array<long>")
 
-    return rows.mapInArrow(run, "repo string, path string, kind string, lines array<long>")
 
+def source_kinds(df: DataFrame, containment: float = 0.6, rare: int = 20, least_lines: int = 4, template: float = 0.9, **names) -> DataFrame:
+    """(repo, path, kind, way, containment): every file that is not hand-written.
 
-def source_kinds(df: DataFrame, containment: float = 0.6, rare: int = 20, least_lines: int = 4, **names) -> DataFrame:
-    """(repo, path, kind, containment): every file that is not hand-written; containment is null where a rule found it."""
-    chunks = materialize(chunk_verdicts(df, **names), "verdicts")
-    ruled = chunks.where("kind is not null").groupBy("repo", "path").agg(F.min("kind").alias("kind"), F.max(F.col("kind") == VENDORED).alias("vendored"))
+    ``way`` is ``containment`` where a chunk of the file is contained in a foreign file of another repository (for a
+    file without evidence of its own: of any), else what showed it: ``path``, ``notice`` or ``composition``.
+    ``containment`` is the greatest share of a chunk's lines that one such file holds.
+    """
+    chunks = materialize(chunk_verdicts(df, template=template, **names), "verdicts")
+    first = F.min(F.struct(F.when(F.col("way") == "path", 0).when(F.col("way") == "notice", 1).otherwise(2).alias("o"), "kind", "way"))
+    foreign = F.col("kind").isin(VENDORED, GENERATED) & (F.col("way") != "composition")
+    ruled = chunks.where("kind is not null").groupBy("repo", "path").agg(
+        first["kind"].alias("kind"), first["way"].alias("way"), F.max(F.when(foreign, F.col("kind"))).alias("origin"))
     ruled = materialize(ruled, "ruled")
-    files = chunks.join(ruled.where("vendored").select("repo", "path"), ["repo", "path"], "left_semi")
-    lines = files.groupBy("repo", "path").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("lines"))
-    library = lines.select(F.xxhash64("lines").alias("file"), "lines").groupBy("file").agg(F.first("lines").alias("lines"))
-    library = materialize(library.where(F.size("lines") > 0), "library")
-    index = library.select("file", F.explode("lines").alias("line"))
-    # one row a line, so a line of a popular library is no hot key
-    known = materialize(index.groupBy("line").agg(F.count(F.lit(1)).alias("df"), F.min("file").alias("file")), "known")
-    # the same lines under many files are one candidate
-    rest = chunks.where(F.col("kind").isNull() & (F.size("lines") >= least_lines)).join(ruled, ["repo", "path"], "left_anti")
-    rest = rest.select("repo", "path", F.xxhash64(F.array_sort("lines")).alias("chunk"), "lines")
-    flat = rest.select("chunk", F.size("lines").alias("size"), F.explode("lines").alias("line")).distinct()
+
+    # chunks with the same lines are one class, whatever number of files hold it
+    rows = chunks.where(F.size("lines") > 0).select("repo", "path", F.array_sort("lines").alias("lines")).withColumn("chunk", F.xxhash64("lines"))
+    rows = materialize(rows.dropDuplicates(["repo", "path", "chunk"]), "rows")
+    classes = rows.groupBy("chunk").agg(F.first("lines").alias("lines"))
+    files = rows.join(ruled.where("origin is not null").select("repo", "path", "origin"), ["repo", "path"])
+    files = files.groupBy("repo", "path", "origin").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("whole"))
+    # a foreign file is one in the index, however many copies; ``only`` is its repository if there is but one
+    library = files.groupBy(F.xxhash64("whole").alias("file")).agg(
+        F.first("whole").alias("whole"), F.max("origin").alias("origin"), F.when(F.min("repo") == F.max("repo"), F.min("repo")).alias("only"))
+    library = materialize(library, "library")
+
+    # the inverted index: of each line, in how many chunks of all repositories it stands, and whether foreign files hold it
+    flat = materialize(classes.where(F.size("lines") >= least_lines).select("chunk", F.size("lines").alias("size"), F.explode("lines").alias("line")), "flat")
+    index = library.select("file", F.explode("whole").alias("line"))
+    both = flat.select("line", F.lit(None).cast("long").alias("file")).unionByName(index.select("line", "file"))
+    known = both.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.count("file").alias("held"), F.min("file").alias("lo"), F.max("file").alias("hi")).where("held > 0")
+    known = materialize(known.select("line", F.greatest(F.col("n") - F.col("held"), "held").alias("df"), "lo", "hi"), "known")
     common = F.col("df") > rare
     part = flat.join(known.select("line", "df"), "line").groupBy("chunk", "size").agg(F.count(F.lit(1)).alias("shared"), F.sum(common.cast("int")).alias("hot"))
     # containment in one file cannot exceed that in all of them
     part = materialize(part.where((F.col("shared") >= containment * F.col("size")) & (F.col("shared") >= least_lines)), "contained")
-    candidates = rest.join(part.select("chunk"), "chunk", "left_semi").groupBy("chunk").agg(F.first("lines").alias("lines"))
-    rare_index = index.join(known.where(~common).select("line"), "line")
-    hits = candidates.select("chunk", F.explode("lines").alias("line")).join(rare_index, "line").select("chunk", "file").distinct()
-    exact = hits.join(candidates, "chunk").join(library.withColumnRenamed("lines", "whole"), "file").select(
-        "chunk", (F.size(F.array_intersect("lines", "whole")) / F.size("lines")).alias("share"), F.size("lines").alias("size")
-    )
-    exact = exact.where((F.col("share") >= containment) & (F.col("share") * F.col("size") >= least_lines)).select("chunk", "share")
-    # a file without a rare line of the chunk can hold its popular ones only; files with the same popular lines are one variant
-    variants = index.join(known.where(common).select("line"), "line").groupBy("file").agg(F.array_sort(F.collect_list("line")).alias("lines"))
-    variants = variants.select(F.xxhash64("lines").alias("variant"), "lines").dropDuplicates(["variant"]).select("variant", F.explode("lines").alias("line"))
-    most = part.where(F.col("hot") >= containment * F.col("size")).select("chunk")
-    most = candidates.join(most, "chunk", "left_semi").select("chunk", F.size("lines").alias("size"), F.explode("lines").alias("line"))
-    most = most.join(variants, "line").groupBy("chunk", "variant", "size").agg(F.count(F.lit(1)).alias("shared"))
-    popular = most.where((F.col("shared") >= containment * F.col("size")) & (F.col("shared") >= least_lines)).select("chunk", (F.col("shared") / F.col("size")).alias("share"))
-    copies = exact.unionByName(popular).groupBy("chunk").agg(F.max("share").alias("containment"))
-    found = rest.select("repo", "path", "chunk").join(copies, "chunk").groupBy("repo", "path").agg(F.max("containment").alias("containment"))
-    return ruled.select("repo", "path", "kind", F.lit(None).cast("double").alias("containment")).unionByName(
-        found.select("repo", "path", F.lit(VENDORED).alias("kind"), "containment")
+
+    # rare lines lead a chunk to all files that may hold it, common ones to two; the whole sets give the exact containment
+    lines = flat.join(part.select("chunk", "hot"), "chunk")
+    leads = index.join(known.where(~common).select("line"), "line").select("line", "file")
+    leads = leads.unionByName(known.where(common).select("line", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("file")))
+    hits = lines.select("chunk", "line").join(leads, "line").select("chunk", "file").distinct()
+    exact = hits.join(classes, "chunk").join(library, "file")
+    exact = exact.select("chunk", "origin", "only", (F.size(F.array_intersect("lines", "whole")) / F.size("lines")).alias("share"), F.size("lines").alias("size"))
+
+    # a file that shares no rare line with the chunk can hold common ones only; files with the same common lines are one variant
+    variants = index.join(known.where(common).select("line"), "line").groupBy("file").agg(F.array_sort(F.collect_list("line")).alias("common"))
+    variants = variants.join(library.select("file", "origin", "only"), "file").groupBy(F.xxhash64("common").alias("variant")).agg(
+        F.first("common").alias("common"), F.max("origin").alias("origin"), F.when((F.min("only") == F.max("only")) & (F.count("only") == F.count(F.lit(1))), F.min("only")).alias("only"))
+    unmarked = rows.join(ruled.select("repo", "path"), ["repo", "path"], "left_anti").select("chunk")
+    most = lines.where(F.col("hot") >= containment * F.col("size")).join(unmarked, "chunk", "left_semi")
+    most = most.join(variants.select("variant", "origin", "only", F.explode("common").alias("line")), "line")
+    most = most.groupBy("chunk", "variant", "size", "origin", "only").agg(F.count(F.lit(1)).alias("n")).select("chunk", "origin", "only", (F.col("n") / F.col("size")).alias("share"), "size")
+
+    # of each chunk the best container, and the best one that is not of the same single repository
+    copies = exact.unionByName(most).where((F.col("share") >= containment) & (F.round(F.col("share") * F.col("size")) >= least_lines))
+    copies = copies.groupBy("chunk", "only").agg(F.max(F.struct("share", "origin")).alias("best"))
+    copies = copies.groupBy("chunk").agg(F.slice(F.sort_array(F.collect_list(F.struct("best", "only")), asc=False), 1, 2).alias("tops"))
+    met = rows.join(ruled.select("repo", "path", "kind", "way"), ["repo", "path"], "left").join(copies, "chunk")
+    top = F.filter("tops", lambda t: F.col("kind").isNull() | t["only"].isNull() | (t["only"] != F.col("repo")))
+    met = met.select("repo", "path", F.get(F.transform(top, lambda t: t["best"]), 0).alias("best")).where("best is not null")
+    met = met.groupBy("repo", "path").agg(F.max("best").alias("best"))
+    out = ruled.select("repo", "path", "kind", "way").join(met, ["repo", "path"], "full")
+    return out.select(
+        "repo", "path", F.coalesce("kind", "best.origin").alias("kind"),
+        F.when(F.col("best").isNotNull(), "containment").otherwise(F.col("way")).alias("way"), F.col("best.share").alias("containment"),
     )
