@@ -100,6 +100,28 @@ WITH t AS (
 SELECT id_a, id_b FROM shared JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE c >= 0.7::DOUBLE * (x.n + y.n - c) - 1e-9
 """
 
+# SQL has no NFKC; the tables hold no letters or digits that it changes, and tests cover those.
+_LEAKS = """
+WITH d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+), q AS (
+  SELECT id, regexp_extract_all(lower(question), '[\\p{L}\\p{N}]+') AS w FROM questions WHERE id IS NOT NULL
+  UNION ALL SELECT id, regexp_extract_all(lower(passage), '[\\p{L}\\p{N}]+') FROM questions WHERE id IS NOT NULL
+), qg AS (SELECT DISTINCT id, w[i : i + 11] AS g FROM (SELECT id, w, unnest(range(1, len(w) - 10)) AS i FROM q WHERE len(w) >= 12)
+), dg AS (SELECT doc_id, w[i : i + 11] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d WHERE len(w) >= 12))
+SELECT DISTINCT doc_id, id AS question_id FROM dg JOIN qg USING (g)
+"""
+
+_GROUPS = _PAIRS.replace("SELECT id_a, id_b FROM shared", ", pairs AS (SELECT id_a, id_b FROM shared").replace("WITH t AS", "WITH RECURSIVE t AS").rstrip() + """
+), sets AS (SELECT id, md5(string_agg(s, chr(10) ORDER BY s)) AS key FROM g GROUP BY id
+), classes AS (SELECT key, min(id) AS class_id, count(*) AS copies FROM sets GROUP BY key
+), cl AS (SELECT id, class_id, copies FROM sets JOIN classes USING (key)
+), both_ways AS (SELECT id_a AS x, id_b AS y FROM pairs UNION ALL SELECT id_b, id_a FROM pairs
+), deg AS (SELECT a.class_id, count(DISTINCT b.class_id) AS links FROM both_ways JOIN cl a ON a.id = x JOIN cl b ON b.id = y WHERE a.class_id <> b.class_id GROUP BY a.class_id
+), reach(id, r) AS (SELECT x, x FROM both_ways UNION SELECT reach.id, y FROM reach JOIN both_ways ON x = r
+), grp AS (SELECT id, min(r) AS low FROM reach GROUP BY id)
+SELECT cl.id, cl.class_id, grp.low AS group_id, coalesce(links, 0) AS links FROM cl JOIN grp USING (id) LEFT JOIN deg ON deg.class_id = cl.class_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it exists; the other queries need parsers, tokenizers or Unicode forms that SQL lacks."""
@@ -107,4 +129,6 @@ def oracle_sql() -> dict[str, str]:
         "p2_found": _LEXIMIN + "SELECT q AS qid, item AS chunk_id FROM ranked WHERE position = 1",
         "p2_ranking": _LEXIMIN + "SELECT q AS qid, item AS chunk_id, position, round(v[1], 9) AS weakest, round(list_sum(v) / len(v), 9) AS mean FROM ranked",
         "p4_found": _PAIRS,
+        "p4_groups": _GROUPS,
+        "p7_found": _LEAKS,
     }

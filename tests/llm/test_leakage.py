@@ -95,3 +95,29 @@ def test_popular_edited_copies_are_found(spark):
     rows = run(spark, [(0, " ".join(base)), *[(i, edited) for i in range(1, 13)]], [("q", "short", " ".join(base))])
     got = {r["doc_id"]: r["coverage"] for r in rows}
     assert set(got) == set(range(13)) and min(got.values()) > 0.8
+
+
+def test_recall_by_edit_rate_and_chance_hits(spark):
+    """Copies with words replaced at random: at 30 % at least nine in ten are found; unrelated texts of the same words are not."""
+    r = random.Random(11)
+    vocab = [f"word{i}" for i in range(900)]
+    items = [(f"q{i}", None, " ".join(r.choice(vocab) for _ in range(r.randint(30, 70)))) for i in range(120)]
+    docs, n = [], 0
+    for rate, least in ((0.1, 1.0), (0.2, 0.97), (0.3, 0.9)):
+        for i, _, text in items:
+            copy = " ".join(x if r.random() > rate else r.choice(vocab) for x in text.split())
+            docs.append((n, " ".join(r.choice(vocab) for _ in range(40)) + " " + copy + " " + " ".join(r.choice(vocab) for _ in range(40))))
+            n += 1
+    got = {(x["doc_id"], x["item_id"]) for x in run(spark, docs, items)}
+    for k, least in enumerate((1.0, 0.97, 0.9)):
+        found = sum((k * 120 + i, f"q{i}") in got for i in range(120))
+        assert found >= least * 120
+    assert len(got) <= 360
+
+
+def test_passage_over_the_margin_and_short_fields(spark):
+    base = " ".join(f"u{i}" for i in range(40))
+    moved = " ".join([*base.split()[:12], *(f"x{i}" for i in range(9)), *base.split()[12:]])
+    rows = run(spark, [(1, moved), (2, "a b c"), (3, "p q r s t u v w x")], [("q", "a b c", base), ("s", "p q r s t u v w", None)])
+    got = {(r["doc_id"], r["item_id"]): (r["run_words"], r["score"]) for r in rows}
+    assert got[1, "q"][0] == 28 and got[1, "q"][1] == 80 - 9 and got[3, "s"] == (8, 16) and (2, "q") not in got
