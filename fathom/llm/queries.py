@@ -39,11 +39,13 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cuts between units, none within one."""
     return splitting.split_chunks(table(spark, sf_dir, "chunks")).where("piece > 0").select("id", F.col("start_line").alias("cut_line")).distinct()
 
 
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splitting.split_chunks(table(spark, sf_dir, "chunks"))
+    """All pieces of all oversized chunks, each within the size limit."""
+    return splitting.split_chunks(table(spark, sf_dir, "chunks"), cut_units=True)
 
 
 def p6_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

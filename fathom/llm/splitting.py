@@ -8,11 +8,13 @@ reached so far are carried along, so all greedy cuts of all texts come out in lo
 any text.
 
 A piece repeats whole lines of the piece before it, at most ``overlap`` characters and never beyond ``size_limit``;
-the repeated lines do not move a cut. A unit longer than the limit is never cut; it makes a piece of its own.
+the repeated lines do not move a cut. A unit longer than the limit is never cut and makes a piece of its own. With
+``cut_units`` one longer than ``size_limit`` is cut at its line ends, and a line longer than ``limit`` into slices, which
+repeat characters instead of lines; then every piece is within ``size_limit``.
 
-Defined cases: rows with null id, content or start line are left out; a text within ``size_limit`` or of one line
-stays whole; CRLF line ends count as they are; an id delivered several times comes out once; a text whose brackets
-do not balance is split by indentation alone.
+Defined cases: rows with null id, content or start line are left out; a text within ``size_limit`` stays whole and is no
+row, nor is one of one line unless ``cut_units`` slices it; CRLF line ends count as they are; an id delivered
+several times comes out once; a text whose brackets do not balance is split by indentation alone.
 """
 
 from __future__ import annotations
@@ -139,29 +141,54 @@ def greedy_cuts(units: list[tuple[np.ndarray, np.ndarray]], limit: int) -> list[
     return [np.flatnonzero(mark[a + 1 : b - 1]) + 1 for a, b in zip(offsets, offsets[1:])]
 
 
-def _split_batch(rows: list[dict], limit: int, overlap: int, size_limit: int) -> Iterator[tuple]:
+def _atoms(lines: list[str], at: np.ndarray, ends: np.ndarray, starts, last, limit: int, size_limit: int, overlap: int) -> Iterator[tuple[int, int, int, int]]:
+    """(first character, end, first line, last line) of each unit, or of the lines and slices of one that exceeds ``size_limit``."""
+    for a, z in zip(starts, last):
+        if ends[z] - at[a] <= size_limit:
+            yield at[a], ends[z], a, z
+            continue
+        for i in range(a, z + 1):
+            if ends[i] - at[i] <= limit:
+                if i == a or lines[i].strip():
+                    yield at[i], ends[i], i, i
+            else:
+                step = limit - overlap
+                for o in range(at[i], ends[i], step):
+                    yield o, min(o + step, ends[i]), i, i
+
+
+def _split_batch(rows: list[dict], limit: int, overlap: int, size_limit: int, cut_units: bool) -> Iterator[tuple]:
     prepared, spans = [], []
     for row in rows:
         lines = row["text"].split("\n")
         at = np.concatenate([[0], np.cumsum([len(x) + 1 for x in lines])])
         ends = np.array([at[i] + len(x.rstrip("\r")) for i, x in enumerate(lines)])
-        starts, last = map(np.array, unit_lines(row["text"], row["kind"], row["language"]))
-        prepared.append((row, lines, at, ends, starts, last))
-        spans.append((at[starts], ends[last]))
-    for (row, lines, at, ends, starts, last), cuts in zip(prepared, greedy_cuts(spans, limit)):
+        starts, last = unit_lines(row["text"], row["kind"], row["language"])
+        atoms = np.array(list(_atoms(lines, at, ends, starts, last, limit, size_limit if cut_units else 1 << 62, overlap)))
+        prepared.append((row, lines, at, ends, atoms))
+        spans.append((atoms[:, 0], atoms[:, 1]))
+    for (row, lines, at, ends, atoms), cuts in zip(prepared, greedy_cuts(spans, limit)):
         begin = np.concatenate([[0], cuts])
-        until = np.append(cuts, len(starts)) - 1
+        until = np.append(cuts, len(atoms)) - 1
         for p, (b, e) in enumerate(zip(begin, until)):
-            first, final = int(starts[b]), int(last[e]) if p < len(cuts) else len(lines) - 1
-            lead = first
-            while p and lead > starts[begin[p - 1]] and at[first] - at[lead - 1] <= overlap and ends[final] - at[lead - 1] <= size_limit:
-                lead -= 1
-            yield row["id"], p, row["start_line"] + first, row["start_line"] + final, row["start_line"] + lead, row["text"][at[lead] : ends[final]]
-
-
-def split_chunks(df: DataFrame, size_limit: int = 3000, limit: int = 2800, overlap: int = 200,
+            start, first = int(atoms[b, 0]), int(atoms[b, 2])
+            end, final = (int(atoms[e, 1]), int(atoms[e, 3])) if p < len(cuts) else (int(ends[-1]), len(lines) - 1)
+            if p == len(cuts) and cut_units and end - start > size_limit:
+                end, final = int(atoms[e, 1]), int(atoms[e, 3])  # blank lines at the end do not make a piece too long
+            lead, before = first, int(atoms[begin[p - 1], 0]) if p else start
+            text_start = start
+            if start > at[first]:  # within a line
+                text_start = max(start - min(overlap, size_limit - (end - start)), before)
+            else:
+                while p and lead > 0 and at[lead - 1] > before and start - at[lead - 1] <= overlap and end - at[lead - 1] <= size_limit:
+                    lead -= 1
+                text_start = int(at[lead])
+            yield row["id"], p, row["start_line"] + first, row["start_line"] + final, row["start_line"] + lead, row["text"][text_start:end]
+
+
+def split_chunks(df: DataFrame, size_limit: int = 3000, limit: int = 2800, overlap: int = 200, cut_units: bool = False,
                  id_col="id", text_col="content", start_col="start_line", kind_col="symbol_kind", language_col="language") -> DataFrame:
-    """(id, piece, start_line, end_line, text_start_line, text) of every chunk longer than ``size_limit`` with several lines.
+    """(id, piece, start_line, end_line, text_start_line, text) of every chunk longer than ``size_limit``.
 
     ``start_line`` and ``end_line`` are the file lines of the piece's own units, ``text_start_line`` that of its
     first repeated line. The size is tested in the JVM, so only oversized texts reach Python.
@@ -169,12 +196,12 @@ def split_chunks(df: DataFrame, size_limit: int = 3000, limit: int = 2800, overl
     rows = df.select(
         F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(start_col).cast("long").alias("start_line"),
         F.col(kind_col).cast("string").alias("kind"), F.col(language_col).cast("string").alias("language"),
-    ).where((F.length("text") > size_limit) & F.col("text").contains("\n") & F.col("id").isNotNull() & F.col("start_line").isNotNull())
-    rows = rows.dropDuplicates(["id"])
+    ).where((F.length("text") > size_limit) & F.col("id").isNotNull() & F.col("start_line").isNotNull())
+    rows = (rows if cut_units else rows.where(F.col("text").contains("\n"))).dropDuplicates(["id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = list(zip(*_split_batch(batch.to_pylist(), limit, overlap, size_limit))) or [[]] * 6
+            out = list(zip(*_split_batch(batch.to_pylist(), limit, overlap, size_limit, cut_units))) or [[]] * 6
             kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["id", "piece", "start_line", "end_line", "text_start_line", "text"])
 

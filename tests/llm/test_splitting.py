@@ -91,3 +91,25 @@ def test_defined_cases(spark):
     assert set(got) == {"twice", "odd", "blank", "unit"} and len({p["piece"] for p in got["twice"]}) == len(got["twice"])
     assert len(got["unit"]) == 1 and got["unit"][0]["end_line"] == 2002  # one statement is never cut
     assert run(spark, []) == {}
+
+
+def test_every_piece_within_the_limit_when_units_may_be_cut(spark):
+    r = random.Random(5)
+    noise = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    long_lines = "\n".join(["f(", *(noise(2000) for _ in range(5)), noise(9000), ")"])
+    rows = [("line", noise(9000), 7, None, None), ("unit", "f(" + "\n" + "".join(f"a{i},\n" for i in range(2000)) + ")", 1, "file", "ts"), ("mixed", long_lines, 1, "file", "js"),
+            ("edge", "x" * 3001, 1, None, None), ("whole", "x" * 3000, 1, None, None), ("class", "class A {\n" + "\n".join(body(90)) + "\n}\n\n\n", 1, "class", "ts")]
+    got = run(spark, rows, cut_units=True)
+    assert set(got) == {"line", "unit", "mixed", "edge", "class"}
+    texts = {r[0]: r[1] for r in rows}
+    for name, pieces in got.items():
+        assert all(len(p["text"]) <= 3000 for p in pieces) and len(pieces) > 1
+        rest, reach = texts[name], 0
+        for p in pieces:  # every piece begins within what was read and carries it on, so nothing is lost
+            at = max(i for i in range(max(0, reach - 201), reach + 2) if rest.startswith(p["text"], i))
+            assert at <= reach + 1
+            reach = max(reach, at + len(p["text"]))
+        assert not rest[reach:].strip()
+    line = [p["text"] for p in got["line"]]
+    assert all(b.startswith(a[-200:]) for a, b in zip(line, line[1:])) and {p["start_line"] for p in got["line"]} == {7}
+    assert len(run(spark, rows)["unit"]) == 1 and "line" not in run(spark, rows)
