@@ -124,16 +124,31 @@ def rebalance(packed: list[tuple[int, list[int]]], sizes: list[int], capacity: i
 
 
 def pack_block(sizes: list[int], capacity: int, sweeps: int = 24) -> list[tuple[int, list[int]]]:
-    """Windows of at most ``capacity``: the least number, from the total over the capacity on, for which differencing
+    """Windows of at most ``capacity``: from the total over the capacity on, the first number for which differencing
     fits, the windows that it leaves too full being differenced again with the emptiest."""
+
+    def attempt(windows: int) -> tuple[list[tuple[int, list[int]]], int]:
+        packed = rebalance(differencing(sizes, windows), sizes, capacity, sweeps)
+        return packed, sum(1 for s, _ in packed if s > capacity)
+
     windows = max(1, math.ceil(sum(sizes) / capacity))
+    failed = windows - 1
     while True:
-        packed = rebalance(differencing(sizes, windows), sizes, capacity, sweeps)
-        over = sum(1 for s, _ in packed if s > capacity)
+        packed, over = attempt(windows)
         if not over:
-            return packed
-        # far off, the excess tells how many more windows are needed at least
+            break
+        failed = windows
+        # far off, the excess tells how many more windows are needed about
         windows += max(1, over // 8)
+    # a jump may have gone too far: halve the way back to the last number that failed
+    while windows - failed > 1:
+        middle = (windows + failed) // 2
+        fewer, over = attempt(middle)
+        if over:
+            failed = middle
+        else:
+            packed, windows = fewer, middle
+    return packed
 
 
 def pack(df: DataFrame, capacity: int = 2048, block_items: int = 4096, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
@@ -162,5 +177,8 @@ def pack(df: DataFrame, capacity: int = 2048, block_items: int = 4096, id_col: s
                 window[i] = f"{key[0].as_py()}-{w}"
         return pa.table({"window": window, "doc_id": block["doc_id"], "piece": pieces, "first_token": [p * capacity for p in pieces], "tokens": tokens})
 
+    # a number of partitions of its own, so that small but costly blocks are not merged into few tasks
+    at_once = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    items = items.repartition(min(blocks, max(at_once, math.ceil(blocks / 16))), "block")
     packed = items.groupBy("block").applyInArrow(run, f"window string, doc_id {kind}, piece long, first_token long, tokens long")
     return whole.unionByName(packed)
