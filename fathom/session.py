@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,31 +46,73 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _LOCAL: str | None = None
-_WRITTEN: list[tuple[SparkSession, str]] = []
+_WRITTEN: dict[str, SparkSession] = {}
+_SCOPES: list[list[str]] = []
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage with files that outlive any executor, and computes an expensive stage once for several
-    readers. Folders are removed when the driver ends.
+    readers. Folders are removed at the end of the enclosing ``scratch``, else when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/fathom-{uuid.uuid4().hex}/{tag}"
     df.write.mode("errorifexists").parquet(path)
-    _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[path] = spark
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._fathom_path = path
+    return out
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Remove at the end what is materialised inside, but for the frames handed to the function that it gives.
+
+    ``with scratch() as keep: result = keep(materialize(last, "result"))``
+    """
+    scope: list[str] = []
+    kept: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df._fathom_path)
+        return df
+
+    _SCOPES.append(scope)
+    try:
+        yield keep
+    finally:
+        _SCOPES.remove(scope)
+        for path in scope:
+            if path in kept:
+                if _SCOPES:
+                    _SCOPES[-1].append(path)
+            else:
+                _remove(path)
+
+
+def release(df: DataFrame) -> None:
+    """Remove the folder of a materialised frame that nothing reads any more."""
+    _remove(df._fathom_path)
+
+
+def _remove(path: str) -> None:
+    spark = _WRITTEN.pop(path, None)
+    if spark is None:
+        return
+    try:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    except Exception:  # noqa: BLE001 - the session may be gone already
+        return
 
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in _WRITTEN:
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path).getParent()
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001 - the session may be gone already
-            return
+    for path in list(_WRITTEN):
+        _remove(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
