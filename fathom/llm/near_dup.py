@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from fathom.llm.components import connected_components
 from fathom.llm.hashing import TokenHasher, mix, shingle_hashes
-from fathom.session import materialize
+from fathom.session import materialize, scratch
 
 TOKEN = re.compile(r"[a-z0-9_]+")
 #: Signatures of a band that a candidate pair shares.
@@ -95,8 +95,10 @@ _BAND = np.uint64(63)
 
 
 def _emit_signatures(gamma: float, cap: int):
-    """(sig, key, band) of the sets of a task. Once a signature is seen to be hot, it is no longer sent to its group:
-    its sets come out as rows without signature, so that no group grows beyond ``cap + 1`` rows a batch."""
+    """(sig, key, band, margin) of the sets of a task: each signature, and without signature each band's margin.
+
+    Once a signature is seen to be hot, it is no longer sent to its group: its sets come out as rows with neither
+    signature nor margin, so that no group grows beyond ``cap + 1`` rows a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # equal sets of a task emit once
@@ -105,12 +107,17 @@ def _emit_signatures(gamma: float, cap: int):
             if len(seen) >= 1_000_000:
                 seen.clear()  # between batches, so that a batch holds no set twice
             sigs, keys = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+            own, bands, margins = [], [], []
             for key, elems in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if key in seen:
                     continue
                 seen.add(key)
-                sig, _ = signatures(np.frombuffer(elems, np.uint64), gamma)
+                sig, places = signatures(np.frombuffer(elems, np.uint64), gamma)
                 sigs.append(sig)
+                for band, margin in places:
+                    own.append(key)
+                    bands.append(band)
+                    margins.append(margin)
                 keys.append(np.full(len(sig), key, np.int64))
             sig, key = np.concatenate(sigs).view(np.int64), np.concatenate(keys)
             order = np.argsort(sig, kind="stable")
@@ -123,27 +130,23 @@ def _emit_signatures(gamma: float, cap: int):
                 spared |= np.isin(sig, hot)
             if len(hot) < 100_000:
                 hot = np.union1d(hot, sig[place > cap])
-            yield pa.RecordBatch.from_arrays([pa.array(sig, mask=spared), pa.array(key), pa.array((sig & 63).astype(np.int32))], ["sig", "key", "band"])
-
-    return run
-
-
-def _margins(gamma: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, bands, margins = [], [], []
-            for key, elems in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for band, margin in signatures(np.frombuffer(elems, np.uint64), gamma)[1]:
-                    keys.append(key)
-                    bands.append(band)
-                    margins.append(margin)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(bands, pa.int32()), pa.array(margins, pa.int32())], ["key", "band", "margin"])
+            n = len(own)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.r_[sig, np.zeros(n, np.int64)], mask=np.r_[spared, np.ones(n, bool)]),
+                    pa.array(np.r_[key, np.array(own, np.int64)]),
+                    pa.array(np.r_[(sig & 63).astype(np.int32), np.array(bands, np.int32)]),
+                    pa.array(np.r_[np.zeros(len(sig), np.int32), np.array(margins, np.int32)], mask=np.r_[np.ones(len(sig), bool), np.zeros(n, bool)]),
+                ],
+                ["sig", "key", "band", "margin"],
+            )
 
     return run
 
 
 def _runs(cap: int):
-    """From rows sorted by (sig, key): the pairs of each signature, or its sets alone (``b`` null) beyond ``cap``."""
+    """From rows sorted by (sig, key): the pairs of each signature, or its sets alone (``b`` null) beyond ``cap``;
+    margins go through."""
 
     def flush(sig: np.ndarray, key: np.ndarray, hot: bool) -> pa.RecordBatch:
         fresh = np.r_[True, (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])]
@@ -162,7 +165,8 @@ def _runs(cap: int):
         one = np.concatenate(alone)
         a, b = np.concatenate([*left, one]), np.concatenate([*right, one])
         return pa.RecordBatch.from_arrays(
-            [pa.array(key[a]), pa.array(key[b], mask=np.arange(len(b)) >= len(b) - len(one)), pa.array((sig[a] & 63).astype(np.int32))], ["a", "b", "band"]
+            [pa.array(key[a]), pa.array(key[b], mask=np.arange(len(b)) >= len(b) - len(one)), pa.array((sig[a] & 63).astype(np.int32)), pa.nulls(len(a), pa.int32())],
+            ["a", "b", "band", "margin"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +175,8 @@ def _runs(cap: int):
         for batch in batches:
             spared = batch.column(0).null_count  # they sort first
             if spared:
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(0, spared), pa.nulls(spared, pa.int64()), batch.column(2).slice(0, spared)], ["a", "b", "band"])
+                rest = batch.slice(0, spared)
+                yield pa.RecordBatch.from_arrays([rest.column(1), pa.nulls(spared, pa.int64()), rest.column(2), rest.column(3)], ["a", "b", "band", "margin"])
                 batch = batch.slice(spared)
             if not batch.num_rows:
                 continue
@@ -277,11 +282,11 @@ def similar_sets(sets: DataFrame, gamma: float = 0.7, cap: int = 16) -> DataFram
 
     ``sets`` is the materialised result of ``shingle_sets``; ``cap`` only decides which way a pair is found.
     """
-    rows = sets.select("key", "elems").mapInArrow(_emit_signatures(gamma, cap), "sig long, key long, band int")
+    rows = sets.select("key", "elems").mapInArrow(_emit_signatures(gamma, cap), "sig long, key long, band int, margin int")
     rows = rows.repartition(F.coalesce("sig", "key")).sortWithinPartitions("sig", "key")
-    found = materialize(rows.mapInArrow(_runs(cap), "a long, b long, band int"), "shared")
-    hot = found.where("b is null").groupBy(F.col("a").alias("key"), "band").agg(F.count(F.lit(1)).alias("hot"))
-    margins = sets.select("key", "elems").mapInArrow(_margins(gamma), "key long, band int, margin int").distinct()
+    found = materialize(rows.mapInArrow(_runs(cap), "a long, b long, band int, margin int"), "shared")
+    hot = found.where("b is null and margin is null").groupBy(F.col("a").alias("key"), "band").agg(F.count(F.lit(1)).alias("hot"))
+    margins = found.where("margin is not null").select(F.col("a").alias("key"), "band", "margin").distinct()
     least = margins.join(hot, ["key", "band"], "left").select("key", "band", (F.col("margin") - F.coalesce("hot", F.lit(0))).alias("least"))
     least = materialize(least, "least")
     shared = found.where("b is not null").groupBy("a", "b", "band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SHARED)
@@ -300,18 +305,41 @@ def similar_sets(sets: DataFrame, gamma: float = 0.7, cap: int = 16) -> DataFram
 
 def near_duplicates(df: DataFrame, id_col: str = "id", text_col: str = "content", gamma: float = 0.7, width: int = 3, cap: int = 16) -> tuple[DataFrame, DataFrame]:
     """(members, links): members (id, key) give the set class of every text, links (a, b, similarity) the pairs of classes."""
-    sets = materialize(shingle_sets(df, id_col, text_col, width), "shingles")
-    links = materialize(similar_sets(sets, gamma, cap), "links")
-    return sets.select("id", "key").distinct(), links
+    with scratch() as keep:
+        sets = materialize(shingle_sets(df, id_col, text_col, width), "shingles")
+        links = keep(materialize(similar_sets(sets, gamma, cap), "links"))
+        members = keep(materialize(sets.select("id", "key").distinct(), "members"))
+    return members, links
+
+
+def _blocked(members: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, sizes): members (id, key, blk) dealt by hash to blocks of about ``block``, and (key, m, nb) of each class."""
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("m")).withColumn("nb", F.ceil(F.col("m") / block).cast("int"))
+    rows = members.join(sizes, "key").select("id", "key", "m", "nb", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int").alias("blk"))
+    return rows, sizes
+
 
+def near_duplicate_pairs(df: DataFrame, block: int = 1000, **params) -> DataFrame:
+    """(id_a, id_b, similarity): all pairs of ids, id_a < id_b, those of equal sets included.
 
-def near_duplicate_pairs(df: DataFrame, **params) -> DataFrame:
-    """(id_a, id_b, similarity): all pairs of ids, id_a < id_b, those of equal sets included."""
+    The classes are expanded block against block, so a text under very many ids makes many tasks, not a long one.
+    """
     members, links = near_duplicates(df, **params)
-    a = members.select(F.col("id").alias("ia"), F.col("key").alias("a"))
-    b = members.select(F.col("id").alias("ib"), F.col("key").alias("b"))
-    same = a.join(b, F.col("a") == F.col("b")).where("ia < ib").select(F.col("ia").alias("id_a"), F.col("ib").alias("id_b"), F.lit(1.0).alias("similarity"))
-    cross = links.join(a, "a").join(b, "b").select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"), "similarity").where("id_a < id_b")
+    rows, sizes = _blocked(members, block)
+    many = rows.where("m > 1")
+    others = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least("blk", o).alias("lo"), F.greatest("blk", o).alias("hi")))
+    met = many.withColumn("x", F.explode(others)).select("id", "key", "blk", "x.lo", "x.hi")
+    left = met.where("blk = lo").select("key", "lo", "hi", F.col("id").alias("ia"))
+    right = met.where("blk = hi").select("key", "lo", "hi", F.col("id").alias("ib"))
+    # within a block the order of ids decides, between two blocks each pair meets once
+    same = left.join(right, ["key", "lo", "hi"]).where("lo < hi or ia < ib").select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"), F.lit(1.0).alias("similarity"))
+    wide = links
+    for side in ("a", "b"):
+        n = sizes.select(F.col("key").alias(side), "nb")
+        wide = wide.join(n, side).withColumn(f"blk_{side}", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).drop("nb")
+    for side in ("a", "b"):
+        wide = wide.join(rows.select(F.col("id").alias(f"i{side}"), F.col("key").alias(side), F.col("blk").alias(f"blk_{side}")), [side, f"blk_{side}"])
+    cross = wide.where("ia != ib").select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"), "similarity")
     return same.unionByName(cross)
 
 
@@ -321,13 +349,14 @@ def near_duplicate_groups(df: DataFrame, **params) -> DataFrame:
     ``class_id`` is the smallest id with the same set, ``links`` the number of other classes similar to the text's
     class, ``group_id`` the smallest id in its connected component.
     """
-    members, links = near_duplicates(df, **params)
-    classes = materialize(members.groupBy("key").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("copies")), "classes")
-    ca = classes.select(F.col("key").alias("a"), F.col("class_id").alias("u"))
-    cb = classes.select(F.col("key").alias("b"), F.col("class_id").alias("v"))
-    edges = materialize(links.join(ca, "a").join(cb, "b").select("u", "v"), "edges")
-    degree = edges.select(F.col("u").alias("class_id")).unionByName(edges.select(F.col("v").alias("class_id"))).groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
-    groups = connected_components(edges).select(F.col("node").alias("class_id"), F.col("component").alias("group_id"))
-    info = classes.join(degree, "class_id", "left").join(groups, "class_id", "left").where("copies > 1 or links is not null")
-    info = info.select("key", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
-    return members.join(info, "key").select("id", "class_id", "group_id", "links")
+    with scratch() as keep:
+        members, links = near_duplicates(df, **params)
+        classes = materialize(members.groupBy("key").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("copies")), "classes")
+        ca = classes.select(F.col("key").alias("a"), F.col("class_id").alias("u"))
+        cb = classes.select(F.col("key").alias("b"), F.col("class_id").alias("v"))
+        edges = materialize(links.join(ca, "a").join(cb, "b").select("u", "v"), "edges")
+        degree = edges.select(F.col("u").alias("class_id")).unionByName(edges.select(F.col("v").alias("class_id"))).groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
+        groups = connected_components(edges).select(F.col("node").alias("class_id"), F.col("component").alias("group_id"))
+        info = classes.join(degree, "class_id", "left").join(groups, "class_id", "left").where("copies > 1 or links is not null")
+        info = info.select("key", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+        return keep(materialize(members.join(info, "key").select("id", "class_id", "group_id", "links"), "groups"))

@@ -72,7 +72,10 @@ def test_hot_signatures_leave_their_group():
     sets = [np.unique(np.r_[shared, mix(np.arange(1000 * i, 1000 * i + 20, dtype=np.uint64))]) for i in range(1, 60)]
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(sets)), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "elems"])
     out = pa.Table.from_batches(near_dup._emit_signatures(0.7, 4)(iter([batch, batch.slice(0, 0)])))
-    rows = out.to_pylist()
+    every = out.to_pylist()
+    rows = [r for r in every if r["margin"] is None]
+    margins = [(r["key"], r["band"], r["margin"]) for r in every if r["margin"] is not None]
+    assert sorted(margins) == sorted((i, *m) for i, s in enumerate(sets) for m in near_dup.signatures(s, 0.7)[1])
     per = {}
     for r in rows:
         per.setdefault(r["sig"], []).append(r["key"])
@@ -120,3 +123,16 @@ def test_components_of_a_long_path(spark):
     out = {r["node"]: r["component"] for r in connected_components(edges).collect()}
     assert len(out) == 73 and {v for k, v in out.items() if k[0] == "n"} == {"n000"} and out["z2"] == "z1"
     assert connected_components(edges.limit(0)).count() == 0
+
+
+def test_classes_are_expanded_in_blocks(spark):
+    """A text under many ids, beside a near one under several: every pair comes out once, whatever the block."""
+    text = " ".join(f"t{i}" for i in range(40))
+    near = text.replace("t20", "other")
+    rows = [(f"a{i:02d}", text) for i in range(23)] + [(f"b{i}", near) for i in range(7)] + [("z", "quite another text here")]
+    df = spark.createDataFrame(rows, "id string, content string")
+    ids = sorted(i for i, _ in rows[:-1])
+    want = {(x, y) for k, x in enumerate(ids) for y in ids[k + 1 :]}
+    for block in (4, 1000):
+        got = [(r["id_a"], r["id_b"]) for r in near_dup.near_duplicate_pairs(df, block=block).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
