@@ -145,10 +145,12 @@ def _emit_signatures(gamma: float, cap: int):
 
 
 def _runs(cap: int):
-    """From rows sorted by (sig, key): the pairs of each signature, or its sets alone (``b`` null) beyond ``cap``;
+    """From rows sorted by sig: the pairs of each signature, or its sets alone (``b`` null) beyond ``cap``;
     margins go through."""
 
     def flush(sig: np.ndarray, key: np.ndarray, hot: bool) -> pa.RecordBatch:
+        order = np.lexsort((key, sig))
+        sig, key = sig[order], key[order]
         fresh = np.r_[True, (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])]
         sig, key = sig[fresh], key[fresh]
         starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
@@ -283,7 +285,7 @@ def similar_sets(sets: DataFrame, gamma: float = 0.7, cap: int = 16) -> DataFram
     ``sets`` is the materialised result of ``shingle_sets``; ``cap`` only decides which way a pair is found.
     """
     rows = sets.select("key", "elems").mapInArrow(_emit_signatures(gamma, cap), "sig long, key long, band int, margin int")
-    rows = rows.repartition(F.coalesce("sig", "key")).sortWithinPartitions("sig", "key")
+    rows = rows.repartition(F.coalesce("sig", "key")).sortWithinPartitions("sig")  # one column, which Spark sorts by radix
     found = materialize(rows.mapInArrow(_runs(cap), "a long, b long, band int, margin int"), "shared")
     hot = found.where("b is null and margin is null").groupBy(F.col("a").alias("key"), "band").agg(F.count(F.lit(1)).alias("hot"))
     margins = found.where("margin is not null").select(F.col("a").alias("key"), "band", "margin").distinct()
