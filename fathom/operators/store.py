@@ -1,8 +1,9 @@
 """The chunk store: chunks, vectors and file hashes under one folder, as a list of parts.
 
-Every change writes one part (new rows, and the ids that it removes from earlier parts) and publishes it by swapping
-one pointer file, so a reader sees either all of a change or none, and a run that dies leaves the old version. The cost
-of a change follows its size, not the store's; when there are ``COMPACT_AT`` parts, the next change merges them.
+Every change writes one part (new rows, and the ids that it removes from earlier parts) and publishes a version that
+lists it, so a reader sees either all of a change or none, and a run that dies leaves the old version. Of two writers
+that began from the same version one fails. The cost of a change follows its size, not the store's; when there are
+``COMPACT_AT`` parts, the next change merges them.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ FILE_SCHEMA = fields("repo string, path string, content_hash string")
 GONE_SCHEMA = fields("id string")
 #: So many parts are read together before a change merges them.
 COMPACT_AT = 8
+#: Up to so many ids (16 MB) are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 
 
 class Store:
@@ -31,7 +34,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str, model: str, dim: int, prefix: str = ""):
         self.spark, self.root, self.model, self.dim, self.prefix = spark, root.rstrip("/"), model, dim, prefix
-        self._pointer = Pointer(spark, f"{self.root}/CURRENT")
+        self._pointer = Pointer(spark, f"{self.root}/versions")
         meta = self._pointer.read()
         if meta:
             if (meta["model"], meta["dim"]) != (model, dim):
@@ -52,6 +55,7 @@ class Store:
         if not parts:
             return self.spark.createDataFrame([], schema)
         rows = gone = None
+        removed = sum(self._pointer.read()["gone"].values())
         for n, part in enumerate(parts):
             own = self._part(part, name, schema).withColumn("_n", F.lit(n))
             rows = own if rows is None else rows.unionByName(own)
@@ -61,6 +65,8 @@ class Store:
         if gone is None:
             return rows.drop("_n")
         last = gone.groupBy("id").agg(F.max("_gone").alias("_gone"))
+        if removed <= BROADCAST_IDS:
+            last = F.broadcast(last)
         return rows.join(last, "id", "left").where(F.col("_gone").isNull() | (F.col("_n") >= F.col("_gone"))).select(*schema.names)
 
     def chunks(self) -> DataFrame:
@@ -82,19 +88,22 @@ class Store:
             return rows.drop("_n")
         return rows.groupBy("repo", "path").agg(F.max_by("content_hash", "_n").alias("content_hash"))
 
-    def _publish(self, parts: list[str], chunks: DataFrame, vectors: DataFrame, files: DataFrame, gone: DataFrame) -> None:
+    def _publish(self, number: int, parts: list[str], chunks: DataFrame, vectors: DataFrame, files: DataFrame, gone: DataFrame) -> None:
         part = f"p-{uuid.uuid4().hex}"
         # a repository's filter then reads its own folders only
         chunks.select(*CHUNK_SCHEMA.names).write.partitionBy("repo").parquet(f"{self.root}/{part}/chunks")
         vectors.select(*VECTOR_SCHEMA.names).write.parquet(f"{self.root}/{part}/vectors")
         files.select(*FILE_SCHEMA.names).write.parquet(f"{self.root}/{part}/files")
         gone.select("id").distinct().write.parquet(f"{self.root}/{part}/gone")
-        self._pointer.swap({"parts": [*parts, part], "model": self.model, "dim": self.dim, "prefix": self.prefix})
+        old = (self._pointer.read() or {"gone": {}})["gone"]
+        counts = {p: old.get(p, 0) for p in parts} | {part: self._part(part, "gone", GONE_SCHEMA).count()}
+        self._pointer.swap({"parts": [*parts, part], "gone": counts, "model": self.model, "dim": self.dim, "prefix": self.prefix}, number)
 
     def compact(self) -> None:
         """Merge all parts into one."""
-        if len(self._parts()) > 1:
-            self._publish([], self.chunks(), self.vectors(), self.files(), self.spark.createDataFrame([], GONE_SCHEMA))
+        number, meta = self._pointer.latest()
+        if meta and len(meta["parts"]) > 1:
+            self._publish(number, [], self.chunks(), self.vectors(), self.files(), self.spark.createDataFrame([], GONE_SCHEMA))
 
     def check(self, chunks: DataFrame) -> None:
         """Raise if a chunk was embedded by another model, in another dimension, or has a vector of another length."""
@@ -112,6 +121,7 @@ class Store:
             new = new.dropDuplicates(["id"])
         if len(self._parts()) >= COMPACT_AT:
             self.compact()
+        number, meta = self._pointer.latest()
         empty = lambda schema: self.spark.createDataFrame([], schema)
         gone = empty(GONE_SCHEMA)
         if drop_files is not None:
@@ -121,7 +131,7 @@ class Store:
         chunks = new.drop("embedding") if new is not None else empty(CHUNK_SCHEMA)
         vectors = new.select("id", "embedding") if new is not None else empty(VECTOR_SCHEMA)
         known = files.select("repo", "path", "content_hash") if files is not None else empty(FILE_SCHEMA)
-        self._publish(self._parts(), chunks, vectors, known, gone)
+        self._publish(number, meta["parts"] if meta else [], chunks, vectors, known, gone)
 
     def upsert(self, chunks: DataFrame) -> None:
         self.apply(new=chunks)
@@ -136,7 +146,7 @@ class Store:
     def get_by_ids(self, ids: list[str]) -> list:
         """The chunks of ``ids`` in their order; unknown ids are dropped."""
         wanted = self.spark.createDataFrame([(i, p) for p, i in enumerate(ids)], "id string, position int")
-        return self.chunks().join(F.broadcast(wanted), "id").orderBy("position").drop("position").collect()
+        return self.chunks().join(F.broadcast(wanted) if len(ids) <= BROADCAST_IDS else wanted, "id").orderBy("position").drop("position").collect()
 
     def plan(self, current: DataFrame, force: bool = False, prune: bool = False) -> DataFrame:
         """(repo, path, action) of the files (repo, path, content_hash) against the stored hashes, before any chunking.

@@ -50,6 +50,15 @@ _WRITTEN: dict[str, SparkSession] = {}
 _SCOPES: list[list[str]] = []
 
 
+def folder(spark: SparkSession, tag: str) -> str:
+    """A new folder's place in the shared folder; it is removed as a materialised frame is."""
+    path = f"{shared_dir(spark)}/fathom-{uuid.uuid4().hex}/{tag}"
+    _WRITTEN[path] = spark
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -57,11 +66,8 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     readers. Folders are removed at the end of the enclosing ``scratch``, else when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/fathom-{uuid.uuid4().hex}/{tag}"
+    path = folder(spark, tag)
     df.write.mode("errorifexists").parquet(path)
-    _WRITTEN[path] = spark
-    if _SCOPES:
-        _SCOPES[-1].append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._fathom_path = path
     return out

@@ -1,37 +1,91 @@
-"""A small JSON file that is replaced atomically, on any Hadoop file system."""
+"""A small JSON document in numbered versions on a Hadoop file system; the greatest number is in force.
+
+A version is written beside its place and then published by a step that fails if the place is taken: a hard link on a
+local or mounted file system, a rename without overwriting elsewhere. So a reader sees whole versions only, and of two
+writers that began from the same version one fails. The file system must rename atomically, as HDFS does.
+"""
 
 from __future__ import annotations
 
 import json
+import os
+import re
 import uuid
 
 from pyspark.sql import SparkSession
 
+_VERSION = re.compile(r"v-(\d+)\.json$")
+
+
+class ConcurrentCommit(RuntimeError):
+    """Another run published a version meanwhile; this run's version was not published."""
+
 
 class Pointer:
+    #: So many versions are kept for readers that are under way.
+    KEEP = 16
+
     def __init__(self, spark: SparkSession, path: str):
         self._spark, self._jvm = spark, spark.sparkContext._jvm
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
-        self._path = self._jvm.org.apache.hadoop.fs.Path(path)
-        self._fs = self._path.getFileSystem(self._conf)
+        self._root = path.rstrip("/")
+        self._fs = self._path().getFileSystem(self._conf)
 
-    def read(self) -> dict | None:
-        """The content, or None before the first ``swap``."""
-        if not self._fs.exists(self._path):
-            return None
-        stream = self._fs.open(self._path)
+    def _path(self, name: str = ""):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self._root}/{name}" if name else self._root)
+
+    def _numbers(self) -> list[int]:
+        if not self._fs.exists(self._path()):
+            return []
+        names = (s.getPath().getName() for s in self._fs.listStatus(self._path()))
+        return sorted(int(m.group(1)) for n in names if (m := _VERSION.match(n)))
+
+    def _load(self, number: int) -> dict:
+        stream = self._fs.open(self._path(f"v-{number:012d}.json"))
         try:
             return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
-    def swap(self, content: dict) -> None:
-        """Write beside the pointer, then rename over it in one step."""
-        tmp = self._jvm.org.apache.hadoop.fs.Path(f"{self._path.toString()}.{uuid.uuid4().hex}")
-        out = self._fs.create(tmp, True)
+    def latest(self) -> tuple[int, dict | None]:
+        """(number, content) of the version in force; (0, None) before the first."""
+        numbers = self._numbers()
+        return (numbers[-1], self._load(numbers[-1])) if numbers else (0, None)
+
+    def read(self) -> dict | None:
+        return self.latest()[1]
+
+    def versions(self) -> list[dict]:
+        """The contents of all versions kept."""
+        return [self._load(n) for n in self._numbers()]
+
+    def swap(self, content: dict, number: int) -> None:
+        """Publish ``content`` as the version after ``number``, or raise ``ConcurrentCommit`` if there is one already."""
+        name = f"v-{number + 1:012d}.json"
+        tmp = f".{uuid.uuid4().hex}.tmp"
+        out = self._fs.create(self._path(tmp), False)
         out.write(bytearray(json.dumps(content).encode()))
         out.close()
-        rename = self._jvm.org.apache.hadoop.fs.Options.Rename
-        options = self._spark.sparkContext._gateway.new_array(rename, 1)
-        options[0] = rename.OVERWRITE
-        self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(tmp.toUri(), self._conf).rename(tmp, self._path, options)
+        try:
+            self._publish(tmp, name)
+        finally:
+            self._fs.delete(self._path(tmp), False)
+        for old in self._numbers()[: -self.KEEP]:
+            self._fs.delete(self._path(f"v-{old:012d}.json"), False)
+
+    def _publish(self, tmp: str, name: str) -> None:
+        uri = self._path(tmp).toUri()
+        if self._fs.getScheme() == "file":
+            folder = os.path.dirname(uri.getPath())
+            try:
+                os.link(os.path.join(folder, tmp), os.path.join(folder, name))
+            except FileExistsError as e:
+                raise ConcurrentCommit(f"{name} is taken") from e
+            return
+        none = self._spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(uri, self._conf).rename(self._path(tmp), self._path(name), none)
+        except Exception as e:
+            if "FileAlreadyExists" in str(e):
+                raise ConcurrentCommit(f"{name} is taken") from e
+            raise

@@ -75,3 +75,55 @@ def test_actions(spark):
     cur = spark.createDataFrame([("r", "a", "1"), ("r", "b", "2"), ("r", "c", "1")], "repo string, path string, content_hash string")
     old = spark.createDataFrame([("r", "a", "1"), ("r", "b", "1"), ("r", "z", "1")], "repo string, path string, content_hash string")
     assert {r["path"]: r["action"] for r in inc.actions(cur, old).collect()} == {"a": "skip", "b": "update", "c": "add", "z": "stale"}
+
+
+def test_two_writers_and_a_killed_run(spark, tmp_path):
+    cur = lambda *rows: spark.createDataFrame(rows, "repo string, path string, content_hash string")
+    a, b = (inc.StateStore(spark, f"file://{tmp_path}/state") for _ in range(2))
+    a.commit(cur(("r", "a", "1")))
+    number = b._pointer.latest()[0]
+    a.commit(cur(("r", "b", "1")))
+    with pytest.raises(inc.ConcurrentCommit):
+        b._pointer.swap({"parts": []}, number)  # both began from the same version
+    assert sorted(r["path"] for r in b.read().collect()) == ["a", "b"]
+
+    write = a._write
+
+    def killed(rows):
+        write(rows)
+        raise KeyboardInterrupt
+
+    a._write = killed
+    with pytest.raises(KeyboardInterrupt):
+        a.commit(cur(("r", "a", "2"), ("r", "c", "1")))
+    assert sorted((r["path"], r["change"]) for r in b.plan(cur(("r", "a", "2"), ("r", "c", "1"))).collect()) == [("a", "changed"), ("c", "new")]
+    b.commit(cur(("r", "a", "2"), ("r", "c", "1")))
+    assert b.plan(cur(("r", "a", "2"), ("r", "c", "1"))).isEmpty()
+    assert len(b.vacuum(0)) >= 1 and b.read().count() == 3
+
+
+def test_a_commit_costs_what_it_changes(spark, tmp_path):
+    store = inc.StateStore(spark, f"file://{tmp_path}/state")
+    rows = lambda lo, hi, h: spark.createDataFrame([("r", f"p{i}", h) for i in range(lo, hi)], "repo string, path string, content_hash string")
+    store.commit(rows(0, 100, "1"))
+    for i in range(6):
+        store.commit(rows(i, i + 2, f"n{i}"))
+    parts = store.version()["parts"]
+    assert parts[0]["rows"] == 100 and len(parts) <= 4  # the large part was not written again
+    got = {r["path"]: r["content_hash"] for r in store.read().collect()}
+    assert len(got) == 100 and got["p0"] == "n0" and got["p5"] == "n5" and got["p6"] == "n5" and got["p7"] == "1"
+
+
+def test_pending_against_a_kept_store(spark, tmp_path):
+    store = inc.StateStore(spark, f"file://{tmp_path}/state")
+    first = obs(spark, [(1, "r", "a", "AA", T(1), T(2)), (2, "r", "b", "b1", T(1), None)])
+    assert [r["path"] for r in inc.pending_files(first, store).collect()] == ["b"]
+    store.commit(spark.createDataFrame([("r", "b", "b1")], "repo string, path string, content_hash string"))
+    later = obs(spark, [(3, "r", "a", "aa", T(3), None), (4, "r", "b", "b2", T(4), None)])
+    assert [(r["path"], r["change"]) for r in inc.pending_files(later, store).collect()] == [("b", "changed")]
+
+
+def test_hashes_of_records(spark):
+    df = spark.createDataFrame([("a", "b"), ("ab", ""), ("ab", None), (None, "ab"), ("a", "b")], "x string, y string")
+    got = [r["h"] for r in inc.hashed(df, ["x", "y"], "h").collect()]
+    assert len(set(got)) == 4 and got[0] == got[4]

@@ -187,3 +187,23 @@ def test_ground_truth_and_json(spark, tmp_path):
     (tmp_path / "d" / "e").mkdir(parents=True)
     assert files.repository_root(str(tmp_path / "d" / "e")) == str(tmp_path.resolve())
     assert files.index_path("/nowhere/repo", "/cache", {}) == ("/cache/nowhere-repo", False) and files.index_path("/x", "/c", {"FATHOM_INDEX": "/i"}) == ("/i", True)
+
+
+def test_two_writers(spark, store):
+    from fathom.sources.pointer import ConcurrentCommit
+
+    store.upsert(frame(spark, chunk("a")))
+    other = Store(spark, store.root, "m", 2)
+    publish = other._publish
+
+    def late(*args):
+        store.upsert(frame(spark, chunk("b")))
+        publish(*args)
+
+    other._publish = late
+    with pytest.raises(ConcurrentCommit):
+        other.upsert(frame(spark, chunk("c")))
+    assert sorted(r["id"] for r in store.chunks().collect()) == ["a", "b"]
+    other._publish = publish
+    other.upsert(frame(spark, chunk("c")))
+    assert store.stats()["chunks"] == 3 == store.stats()["vectors"]
