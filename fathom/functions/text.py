@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +19,11 @@ LANGUAGE_SUFFIXES = {
 }
 ACCENTED = "àáâãäåāăąçćčďèéêëēėęěìíîïīįıłñńňòóôõöøōőŕřśšşťùúûüūůűýÿźżž"
 PLAIN = "aaaaaaaaacccdeeeeeeeeiiiiiiilnnnoooooooorrssstuuuuuuuyyzzz"
+# What counts as quoted code, and what of it is a mere name.
+FENCED = r"```[a-z]*\n([\s\S]*?)```"
+FENCE = r"```[\s\S]*?```"
+INLINE = r"`([^`\n]+)`"
+BARE_NAME = "^[A-Za-z_$][A-Za-z0-9_$]*$"
 #: White space as scripts mean it, no-break and other Unicode spaces included.
 SPACES = "[ \\t\\n\\u000B\\f\\r\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF]"
 
@@ -65,6 +73,17 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(fold(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+_FOLD = str.maketrans(ACCENTED, PLAIN)
+_TOKEN = regex.compile(r"[\p{L}\p{N}]+")
+_ASCII_TOKEN = re.compile(r"[a-z0-9]+")
+
+
+def plain_tokens(text: str) -> list[str]:
+    """What ``tokens`` gives, for code that has the text in Python."""
+    low = text.lower()
+    return _ASCII_TOKEN.findall(low) if low.isascii() else _TOKEN.findall(low.translate(_FOLD))
+
+
 def query_terms(query: Column) -> Column:
     """Query terms: runs of ASCII letters, digits and underscores longer than one; repeats stay and count again."""
     return F.filter(F.split(query, "[^A-Za-z0-9_]+"), lambda t: F.length(t) > 1)
@@ -85,13 +104,13 @@ def extract_quotes(text: Column) -> Column:
     """The quoted code of a claim: bodies of fenced blocks, then inline backtick spans, normalised.
 
     Bare identifiers and empty spans are left out. A fence with another tag than lower-case letters is removed
-    without being extracted.
+    without being extracted; an inline span ends with its line.
     """
-    fenced = F.regexp_extract_all(text, F.lit(r"```[a-z]*\n([\s\S]*?)```"), F.lit(1))
-    rest = F.regexp_replace(text, r"```[\s\S]*?```", " ")
-    inline = F.regexp_extract_all(rest, F.lit(r"`([^`]+)`"), F.lit(1))
+    fenced = F.regexp_extract_all(text, F.lit(FENCED), F.lit(1))
+    rest = F.regexp_replace(text, FENCE, " ")
+    inline = F.regexp_extract_all(rest, F.lit(INLINE), F.lit(1))
     quotes = F.transform(F.concat(fenced, inline), normalise)
-    return F.filter(quotes, lambda q: (q != "") & ~q.rlike("^[A-Za-z_$][A-Za-z0-9_$]*$"))
+    return F.filter(quotes, lambda q: (q != "") & ~q.rlike(BARE_NAME))
 
 
 def embedding_text(path: Column, name: Column, kind: Column, imports: Column, content: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,13 +11,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathom.functions.text import phrase, query_terms, tokens
+from fathom.functions.text import phrase, plain_tokens, query_terms, tokens
 from fathom.session import materialize
 
 K1, B = 1.2, 0.75
 RRF_K = 60
-#: Up to so many (phrase, word) rows of a batch of queries are broadcast; more are joined by a shuffle.
-BROADCAST_WORDS = 500_000
+#: So many (query, phrase) rows go to the tasks at once; more are more blocks, and each block reads the documents.
+BLOCK_PHRASES = 200_000
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -105,16 +107,11 @@ def knn_overfetch(queries: DataFrame, vectors: DataFrame, k: int, keep: Column,
     return top_k(kept, k, [F.col("score").desc(), F.col("vid")]).select("qid", "vid", "score", "rank")
 
 
-def _tokens_by_column(docs: DataFrame, doc: str, columns: tuple[str, ...]) -> DataFrame:
-    """(doc, dl, parts): the tokens of each indexed column, and how many there are in all; every text is tokenised once."""
+def postings(docs: DataFrame, doc: str, columns: tuple[str, ...]) -> DataFrame:
+    """(doc, dl, col, pos, term) of every token; positions count within a column, ``dl`` over all; every text is tokenised once."""
     parts = F.array(*[tokens(F.coalesce(F.col(c), F.lit(""))) for c in columns])
     rows = docs.select(F.col(doc).alias("doc"), parts.alias("parts"))
-    return rows.select("doc", F.aggregate("parts", F.lit(0), lambda n, p: n + F.size(p)).alias("dl"), "parts")
-
-
-def postings(docs: DataFrame, doc: str, columns: tuple[str, ...]) -> DataFrame:
-    """(doc, dl, col, pos, term) of every token; positions count within a column."""
-    rows = _tokens_by_column(docs, doc, columns).select("doc", "dl", F.posexplode("parts").alias("col", "part"))
+    rows = rows.select("doc", F.aggregate("parts", F.lit(0), lambda n, p: n + F.size(p)).alias("dl"), F.posexplode("parts").alias("col", "part"))
     return rows.select("doc", "dl", "col", F.posexplode("part").alias("pos", "term"))
 
 
@@ -125,36 +122,141 @@ def phrases(queries: DataFrame, qid: str, text: str) -> DataFrame:
     return words.select("qid", F.array_join("words", " ").alias("ph"), "words").groupBy("qid", "ph", "words").agg(F.count(F.lit(1)).alias("weight"))
 
 
+class PhraseBlock:
+    """The phrases of a bounded block of queries, and which queries ask for each with what weight and k."""
+
+    def __init__(self):
+        self.words: list[list[str]] = []
+        self.number: dict[str, int] = {}
+        self.queries: list = []
+        self.most: list[int] = []
+        self.asked: list[tuple[int, int, int]] = []  # (phrase, query, weight)
+
+    def add(self, qid, k: int, own: list) -> None:
+        q = len(self.queries)
+        self.queries.append(qid)
+        self.most.append(k)
+        for p in own:
+            n = self.number.setdefault(p["ph"], len(self.words))
+            if n == len(self.words):
+                self.words.append(p["words"])
+            self.asked.append((n, q, p["weight"]))
+
+    def matched(self, docs: DataFrame, doc: str, columns: tuple[str, ...]) -> DataFrame:
+        """(doc, dl, ph, tf) of every document: its length, and the numbers and frequencies of the phrases in it."""
+        single = {w[0]: n for n, w in enumerate(self.words) if len(w) == 1}
+        several: dict[str, list[tuple[int, list[str]]]] = {}
+        for n, w in enumerate(self.words):
+            if len(w) > 1:
+                several.setdefault(w[0], []).append((n, w))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lengths, phs, tfs = [], [], []
+                for parts in zip(*(c.to_pylist() for c in batch.columns[1:])):
+                    n = 0
+                    seen: Counter = Counter()
+                    for part in parts:
+                        found = plain_tokens(part) if part else ()
+                        n += len(found)
+                        seen.update([x for t in found if (x := single.get(t)) is not None])
+                        if several:
+                            seen.update(x for i, t in enumerate(found) if t in several for x, w in several[t] if found[i : i + len(w)] == w)
+                    lengths.append(n)
+                    phs.append(list(seen))
+                    tfs.append(list(seen.values()))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(lengths, pa.int32()), pa.array(phs, pa.list_(pa.int32())), pa.array(tfs, pa.list_(pa.int32()))], ["doc", "dl", "ph", "tf"])
+
+        rows = docs.select(F.col(doc).alias("doc"), *columns)
+        return rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, dl int, ph array<int>, tf array<int>")
+
+    def best(self, matched: DataFrame, df: dict[int, int], n_docs: int, mean: float, kind: str, cells: int = 4_000_000) -> DataFrame:
+        """(qid, doc, raw): in each batch of documents the best k of each query, ties at the end included."""
+        # a term as frequent as half the corpus keeps the smallest positive weight
+        idf = np.array([max(math.log((n_docs - df.get(p, 0) + 0.5) / (df.get(p, 0) + 0.5)), 1e-6) for p in range(len(self.words))])
+        per: dict[int, list[tuple[int, int]]] = {}
+        for p, q, w in self.asked:
+            per.setdefault(p, []).append((q, w))
+        queries, most = self.queries, self.most
+        step = max(64, cells // max(1, len(queries)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, whole.num_rows, step):
+                    batch = whole.slice(at, step)
+                    lists = batch.column(2).combine_chunks() if isinstance(batch.column(2), pa.ChunkedArray) else batch.column(2)
+                    ph, tf = lists.flatten().to_numpy(), batch.column(3).flatten().to_numpy().astype(float)
+                    row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+                    dl = batch.column(1).to_numpy()[row]
+                    gain = idf[ph] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))
+                    order = np.argsort(ph, kind="stable")
+                    ph, row, gain = ph[order], row[order], gain[order]
+                    score = np.zeros((len(queries), batch.num_rows))
+                    cuts = np.flatnonzero(np.r_[True, ph[1:] != ph[:-1]]) if len(ph) else []
+                    for a, b in zip(cuts, [*cuts[1:], len(ph)]):
+                        for q, w in per.get(int(ph[a]), ()):
+                            score[q, row[a:b]] += w * gain[a:b]
+                    score = np.round(score, 9)
+                    qs, docs, raws = [], [], []
+                    for q in np.flatnonzero(score.any(axis=1)):
+                        hit = np.flatnonzero(score[q] > 0)
+                        own = score[q, hit]
+                        if len(hit) > most[q]:
+                            edge = np.partition(own, len(own) - most[q])[len(own) - most[q]] if most[q] > 0 else np.inf
+                            hit, own = hit[own >= edge], own[own >= edge]
+                        qs += [queries[q]] * len(hit)
+                        docs.append(hit)
+                        raws.append(own)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(qs, _arrow(kind)), batch.column(0).take(pa.array(np.concatenate([*docs, np.empty(0, int)]))), pa.array(np.concatenate([*raws, np.empty(0)]))], ["qid", "doc", "raw"])
+
+        doc_kind = matched.schema["doc"].dataType.simpleString()
+        return matched.select("doc", "dl", "ph", "tf").where(F.size("ph") > 0).mapInArrow(run, f"qid {kind}, doc {doc_kind}, raw double")
+
+
+def _arrow(kind: str) -> pa.DataType:
+    return {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
+
+
+def _phrase_blocks(queries: DataFrame, ph: DataFrame, qid: str, k: int | str, most: int) -> Iterator[PhraseBlock]:
+    """The queries with their phrases, in blocks of at most ``most`` phrases (or one query); they reach the driver block by block."""
+    own = ph.groupBy("qid").agg(F.collect_list(F.struct("ph", "words", "weight")).alias("own"))
+    if isinstance(k, str):
+        own = own.join(queries.groupBy(F.col(qid).alias("qid")).agg(F.max(k).alias("k")), "qid")
+    block = PhraseBlock()
+    for row in own.toLocalIterator():
+        if block.asked and len(block.asked) + len(row["own"]) > most:
+            yield block
+            block = PhraseBlock()
+        block.add(row["qid"], int(row["k"] or 0) if isinstance(k, str) else k, row["own"])
+    if block.asked:
+        yield block
+
+
 def bm25(queries: DataFrame, docs: DataFrame, k: int | str, qid: str = "qid", text: str = "query", doc: str = "id",
          columns: tuple[str, ...] = ("path", "symbol_name", "content"), keep: DataFrame | None = None) -> DataFrame:
     """(qid, doc, score, rank): BM25 over all indexed columns, squashed to [0, 1) by r/(1+r).
 
     N, the mean length and document frequencies are global: a filter (``keep``, a frame of allowed docs) does not
-    change them. Only postings of query words leave the scan, as counts a phrase and document. A term as frequent
-    as half the corpus keeps the smallest positive weight. ``k`` is a number or the name of a column of the queries.
+    change them. ``k`` is a number or the name of a column of the queries. Queries go to the tasks in blocks of
+    bounded size; the documents are tokenised once a block, and what they hold of its phrases is written, one row a
+    document. Scores are summed where the documents are, as a product of sparse matrices, so only k rows a
+    query and batch of documents are shuffled.
     """
-    ph = phrases(queries, qid, text)
-    words = ph.select("ph", F.size("words").alias("n"), F.posexplode("words").alias("off", "term")).distinct()
-    few = words.count() <= BROADCAST_WORDS
-    if few:  # then postings of other words are dropped where they arise
-        words = F.broadcast(words)
-    hits = postings(docs, doc, columns).join(words, "term").withColumn("at", F.col("pos") - F.col("off"))
-    # a single word needs no place; the words of a phrase meet where it would begin
-    place = [F.when(F.col("n") > 1, F.col(c)).alias(c) for c in ("col", "at")]
-    met = hits.groupBy("ph", "doc", "dl", "n", *place).agg(F.count(F.lit(1)).alias("m")).where("n = 1 or m = n")
-    found = met.groupBy("ph", "doc", "dl").agg(F.sum(F.when(F.col("n") == 1, F.col("m")).otherwise(1)).alias("tf"))
-    # written once, as the frequencies and the scores both read it, and by document, so that sums need little shuffle
-    tf = materialize(found.repartition("doc"), "tf")
-    df = tf.groupBy("ph").agg(F.count(F.lit(1)).alias("df"))
-    stats = _tokens_by_column(docs, doc, columns).agg(F.count(F.lit(1)).alias("N"), F.avg("dl").alias("avgdl"))
-    idf = F.greatest(F.log((F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    gain = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    weighed = tf.join(df, "ph").crossJoin(F.broadcast(stats)).select("ph", "doc", gain.alias("gain"))  # stats is one row
-    if keep is not None:
-        weighed = weighed.join(keep, "doc", "left_semi")
-    asked = ph.select("qid", "ph", "weight")
-    scored = (F.broadcast(asked) if few else asked).join(weighed, "ph").groupBy("qid", "doc").agg(F.round(F.sum(F.col("weight") * F.col("gain")), 9).alias("raw"))
-    best = top_k_each(scored, queries, qid, k, [F.col("raw").desc(), F.col("doc")])
+    kind = queries.select(F.col(qid).alias("q")).schema["q"].dataType.simpleString()
+    doc_kind = docs.select(F.col(doc).alias("d")).schema["d"].dataType.simpleString()
+    out = None
+    for block in _phrase_blocks(queries, phrases(queries, qid, text), qid, k, BLOCK_PHRASES):
+        matched = materialize(block.matched(docs, doc, columns), "matched")
+        n_docs, mean = matched.agg(F.count(F.lit(1)), F.coalesce(F.avg("dl"), F.lit(0.0))).first()
+        # one number a phrase of the block
+        df = {r["p"]: r["n"] for r in matched.select(F.explode("ph").alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
+        part = block.best(matched if keep is None else matched.join(keep, "doc", "left_semi"), df, n_docs, mean, kind)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return docs.sparkSession.createDataFrame([], f"qid {kind}, doc {doc_kind}, score double, rank int")
+    best = top_k_each(out, queries, qid, k, [F.col("raw").desc(), F.col("doc")])
     return best.select("qid", "doc", (F.col("raw") / (1 + F.col("raw"))).alias("score"), "rank")
 
 

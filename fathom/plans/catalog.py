@@ -160,7 +160,7 @@ def normalise_text(spark, d):
 
 
 @query(rf"""WITH q AS (
-  SELECT doc_id, unnest(list_concat(regexp_extract_all(text, '```[a-z]*\n([\s\S]*?)```', 1), regexp_extract_all(regexp_replace(text, '```[\s\S]*?```', ' ', 'g'), '`([^`]+)`', 1))) AS q FROM documents WHERE text IS NOT NULL
+  SELECT doc_id, unnest(list_concat(regexp_extract_all(text, '```[a-z]*\n([\s\S]*?)```', 1), regexp_extract_all(regexp_replace(text, '```[\s\S]*?```', ' ', 'g'), '`([^`\n]+)`', 1))) AS q FROM documents WHERE text IS NOT NULL
 ), n AS (SELECT doc_id, trim(regexp_replace(translate(q, '‘’“”', '''''""'), '{_WS}', ' ', 'g')) AS quote FROM q)
 SELECT doc_id, quote, count(*) AS times FROM n WHERE quote <> '' AND NOT regexp_full_match(quote, '[A-Za-z_$][A-Za-z0-9_$]*') GROUP BY ALL""")
 def extract_quotes(spark, d):
@@ -410,18 +410,15 @@ def rrf_fuse(spark, d):
     return search.hybrid(*[h.where(f"source = '{s}'").select("qid", F.col("chunk_id").alias("doc"), "rank") for s in ("vector", "keyword")], 2_000_000_000, keyword_weight=0.3)
 
 
-_HY_DOCS = "HD AS (SELECT d.doc_id, d.text, e.embedding FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id), HQ AS (SELECT doc_id AS qid, text AS query FROM HD WHERE doc_id % 50 = 0)"
-
-
-@query(f"""WITH {_HY_DOCS}, {bm25_sql('HD', 'doc_id', ('text',), 'HQ', 'qid', 'query')}, VR AS (
-  SELECT qid, doc, row_number() OVER (PARTITION BY qid ORDER BY s, doc) AS rank FROM (SELECT q.doc_id AS qid, v.doc_id AS doc, {_D} AS s FROM HD q JOIN HD v ON q.doc_id % 50 = 0)
+@query(f"""WITH HQ AS (SELECT doc_id AS qid, text AS query FROM documents WHERE doc_id % 50 = 0), {bm25_sql('documents', 'doc_id', ('text',), 'HQ', 'qid', 'query')}, VR AS (
+  SELECT qid, doc, row_number() OVER (PARTITION BY qid ORDER BY s, doc) AS rank FROM (SELECT q.vec_id AS qid, v.vec_id AS doc, {_D} AS s FROM embeddings q JOIN embeddings v ON q.vec_id % 50 = 0)
 ), KR AS (SELECT qid, doc, row_number() OVER (PARTITION BY qid ORDER BY raw DESC, doc) AS rank FROM BM
 ), R AS (SELECT qid, doc, rank, 0 AS src, 1.0::DOUBLE AS weight FROM VR WHERE rank <= 50 UNION ALL SELECT qid, doc, rank, 1, 0.3::DOUBLE FROM KR WHERE rank <= 50)
 SELECT qid, doc::VARCHAR AS doc, score, rank FROM (""" + _RRF.format(src="SELECT * FROM R").replace(", doc)::INTEGER", ", doc::VARCHAR)::INTEGER") + ") WHERE rank <= 8")
 def hybrid_search(spark, d):
     """All documents searched by text and all embeddings by vector, each for every fiftieth of its ids; fused by id with keyword weight 0.3.
 
-    A query or a hit that only one of the tables holds stays with the ranking of that one. The SQL covers only ids in both tables.
+    A query or a hit that only one of the tables holds stays with the ranking of that one.
     """
     docs = table(spark, d, "documents")
     q = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("qid"), F.col("text").alias("query"))

@@ -67,7 +67,7 @@ RECORDED = """L AS (
   UNION ALL SELECT qid, 2, 'see elsewhere', [9, 2] FROM L
   UNION ALL SELECT qid, 3, 'no evidence for `name` or `a b`', []::INTEGER[] FROM L
 ), Q AS (
-  SELECT qid, claim, trim(regexp_replace(unnest(regexp_extract_all(text, '`([^`]+)`', 1)), '[ \\t\\n\\f\\r\\x0B\\x{00A0}\\x{FEFF}]+', ' ', 'g')) AS quote FROM A
+  SELECT qid, claim, trim(regexp_replace(unnest(regexp_extract_all(text, '`([^`\\n]+)`', 1)), '[ \\t\\n\\f\\r\\x0B\\x{00A0}\\x{FEFF}]+', ' ', 'g')) AS quote FROM A
 ), QQ AS (SELECT * FROM Q WHERE quote <> '' AND NOT regexp_full_match(quote, '[A-Za-z_$][A-Za-z0-9_$]*')
 ), B AS (SELECT qid, ref, trim(regexp_replace(translate(content, '‘’“”', '''''""'), '[ \\t\\n\\f\\r\\x0B\\x{00A0}\\x{FEFF}]+', ' ', 'g')) AS body FROM S
 ), CI AS (SELECT qid, claim, unnest(citations) AS ref FROM A

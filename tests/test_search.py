@@ -178,3 +178,42 @@ def test_hybrid_search_covers_both_tables(spark, tmp_path):
     FROM (SELECT qid, doc, round(sum(weight / (60 + rank)), 12) AS score, min(src * 1000000 + rank) AS seen FROM R GROUP BY ALL) QUALIFY rank <= 8""").fetchall()
     assert got == {(q, d): (n, round(s, 9)) for q, d, s, n in want}
     assert {q for q, _ in got} == {0, 50, 100, 150, 200, 300} and ("300" in {d for _, d in got}) and ("150" in {d for _, d in got})
+
+
+def test_bm25_in_blocks_and_batches(spark, monkeypatch):
+    """Blocks of queries, small cells, a filter, ties at the edge, and k by query give what one plain pass gives."""
+    import math
+    import random
+
+    from fathom.functions.text import plain_tokens
+    from fathom.operators import search
+
+    r = random.Random(4)
+    vocab = [f"w{i}" for i in range(40)] + ["the"] * 20
+    texts = [" ".join(r.choice(vocab) for _ in range(r.randint(0, 30))) for _ in range(150)]
+    docs = spark.createDataFrame([(i, t if i % 17 else None, i % 3 == 0) for i, t in enumerate(texts)], "id long, body string, ok boolean").repartition(3)
+    asked = [(f"q{i}", " ".join(r.choice(vocab) for _ in range(r.randint(0, 5))) + (" w1_w2" if i % 4 == 0 else ""), i % 6) for i in range(30)]
+    queries = spark.createDataFrame(asked, "qid string, query string, k int")
+    tokens = {i: plain_tokens(t) if i % 17 else [] for i, t in enumerate(texts)}
+    mean = sum(map(len, tokens.values())) / len(tokens)
+
+    def tf(words, found):
+        return sum(found[i : i + len(words)] == words for i in range(len(found)))
+
+    want = {}
+    for qid, text, k in asked:
+        scores = dict.fromkeys(tokens, 0.0)
+        for term in [t for t in text.split() if len(t) > 1]:
+            words = term.split("_")
+            have = {i: n for i, f in tokens.items() if (n := tf(words, f))}
+            idf = max(math.log((len(tokens) - len(have) + 0.5) / (len(have) + 0.5)), 1e-6)
+            for i, n in have.items():
+                scores[i] += idf * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(tokens[i]) / mean))
+        ranked = sorted(((-round(s, 9), i) for i, s in scores.items() if s > 0 and i % 3 == 0))
+        want |= {(qid, i): n for n, (_, i) in enumerate(ranked[:k], 1)}
+    best = search.PhraseBlock.best
+    monkeypatch.setattr(search, "BLOCK_PHRASES", 20)
+    monkeypatch.setattr(search.PhraseBlock, "best", lambda *a, **kw: best(*a, **kw, cells=100))
+    keep = docs.where("ok").selectExpr("id as doc")
+    got = {(x["qid"], x["doc"]): x["rank"] for x in search.bm25(queries, docs, "k", columns=("body",), keep=keep).collect()}
+    assert got == want

@@ -68,3 +68,14 @@ def test_matches_empty_fields_filter_nothing(spark):
     assert df.where(tx.matches(path_prefix="src/")).count() == 1
     assert df.where(tx.matches(path_prefix="SRC/")).count() == 0
     assert df.where(tx.matches(repo="b", language="py", symbol_kind="class")).count() == 1
+
+
+def test_inline_quotes_end_with_their_line(spark):
+    assert one(spark, "a stray ` here\nand `f(x)` there", tx.extract_quotes) == ["f(x)"]
+    assert one(spark, "`a +\nb` then `c + d`", tx.extract_quotes) == []  # the span between is the name `then`
+    assert one(spark, "`a +\nb` or else `c + d`", tx.extract_quotes) == ["or else"]
+
+
+def test_plain_tokens_equal_the_column_function(spark):
+    for text in ("Crème brûlée_x 12a", "ΑΣ Straße İx ǆ", "áb 日本語。テスト ไทย", "", "__", "x²½ ①"):
+        assert tx.plain_tokens(text) == one(spark, text, tx.tokens)
