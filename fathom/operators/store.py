@@ -18,6 +18,7 @@ from fathom.functions.text import matches
 from fathom.operators import search
 from fathom.operators.incremental import actions
 from fathom.schema import CHUNK_SCHEMA, EmbeddingMismatchError, fields
+from fathom.session import materialize, scratch
 from fathom.sources.pointer import Pointer
 
 VECTOR_SCHEMA = fields("id string, embedding array<float>")
@@ -90,8 +91,8 @@ class Store:
 
     def _publish(self, number: int, parts: list[str], chunks: DataFrame, vectors: DataFrame, files: DataFrame, gone: DataFrame) -> None:
         part = f"p-{uuid.uuid4().hex}"
-        # a repository's filter then reads its own folders only
-        chunks.select(*CHUNK_SCHEMA.names).write.partitionBy("repo").parquet(f"{self.root}/{part}/chunks")
+        # a repository's filter then reads its own folders only; by range, so that a large repository is several files
+        chunks.select(*CHUNK_SCHEMA.names).repartitionByRange("repo", "path").write.partitionBy("repo").parquet(f"{self.root}/{part}/chunks")
         vectors.select(*VECTOR_SCHEMA.names).write.parquet(f"{self.root}/{part}/vectors")
         files.select(*FILE_SCHEMA.names).write.parquet(f"{self.root}/{part}/files")
         gone.select("id").distinct().write.parquet(f"{self.root}/{part}/gone")
@@ -116,11 +117,16 @@ class Store:
     def apply(self, new: DataFrame | None = None, drop_files: DataFrame | None = None, files: DataFrame | None = None) -> None:
         """One commit: chunks of ``drop_files`` (repo, path) go, ``new`` chunks with ``embedding`` replace those of
         their ids, the hashes of ``files`` are recorded. A null or an empty frame changes nothing."""
-        if new is not None:
-            self.check(new)
-            new = new.dropDuplicates(["id"])
-        if len(self._parts()) >= COMPACT_AT:
-            self.compact()
+        with scratch():
+            if new is not None:
+                # written once, so that a model is asked once for each vector
+                new = materialize(new.dropDuplicates(["id"]), "new")
+                self.check(new)
+            if len(self._parts()) >= COMPACT_AT:
+                self.compact()
+            self._apply(new, drop_files, files)
+
+    def _apply(self, new: DataFrame | None, drop_files: DataFrame | None, files: DataFrame | None) -> None:
         number, meta = self._pointer.latest()
         empty = lambda schema: self.spark.createDataFrame([], schema)
         gone = empty(GONE_SCHEMA)
@@ -148,6 +154,10 @@ class Store:
         wanted = self.spark.createDataFrame([(i, p) for p, i in enumerate(ids)], "id string, position int")
         return self.chunks().join(F.broadcast(wanted) if len(ids) <= BROADCAST_IDS else wanted, "id").orderBy("position").drop("position").collect()
 
+    def get_many(self, wanted: DataFrame) -> DataFrame:
+        """``wanted`` (any columns with ``id``) joined with the stored chunks; unknown ids are dropped."""
+        return wanted.join(self.chunks(), "id")
+
     def plan(self, current: DataFrame, force: bool = False, prune: bool = False) -> DataFrame:
         """(repo, path, action) of the files (repo, path, content_hash) against the stored hashes, before any chunking.
 

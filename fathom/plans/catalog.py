@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from fathom.functions import text as tx
 from fathom.operators import answer, chunking, evaluate, incremental, search
+from fathom.operators.store import Store
 from fathom.plans import views
 from fathom.plans.views import C, H, RECORDED, S, bm25_sql
-from fathom.session import materialize, table
+from fathom.session import folder, materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -58,47 +59,64 @@ def p3_pending(spark, d):
 
 # Store
 
+def _store(spark, d, *deliveries: DataFrame) -> Store:
+    """A store of the given deliveries of chunks, each a change of its own; a vector stands for a chunk's embedding."""
+    store = Store(spark, folder(spark, "store"), "stand-in", 2)
+    for rows in deliveries or (views.chunks(spark, d),):
+        vector = F.array(F.length("content").cast("float"), F.col("start_line").cast("float"))
+        store.upsert(rows.withColumn("embedding_model", F.lit("stand-in")).withColumn("embedding_dim", F.lit(2)).withColumn("embedding", vector))
+    return store
+
+
 @query(_OBS + """SELECT coalesce(cur.repo, old.repo) AS repo, coalesce(cur.path, old.path) AS path,
   CASE WHEN cur.path IS NULL THEN 'stale' WHEN old_hash IS NULL THEN 'add' WHEN old_hash = content_hash THEN 'skip' ELSE 'update' END AS action
 FROM cur FULL JOIN old ON cur.repo = old.repo AND cur.path = old.path""")
 def index_incremental(spark, d):
+    """The plan of a run against a store that holds the committed hashes."""
     obs = incremental.observations(table(spark, d, "indexed_files"))
-    return incremental.actions(incremental.current_versions(obs), incremental.committed_state(obs))
+    store = Store(spark, folder(spark, "store"), "stand-in", 2)
+    store.apply(files=incremental.committed_state(obs))
+    return store.plan(incremental.current_versions(obs), prune=True)
 
 
 @query(f"WITH {C} SELECT id, repo, path, git_sha, start_line FROM C")
 def store_upsert(spark, d):
-    """The rows of each id as the last delivery left them: an upsert of all deliveries in the order of their times."""
-    return views.chunks(spark, d, "id", "repo", "path", "git_sha", "start_line")
+    """A store after all deliveries, the oldest of each id first and each later one as a change of its own."""
+    from pyspark.sql import Window
 
+    order = Window.partitionBy("id").orderBy("indexed_at", "git_sha")
+    rows = materialize(table(spark, d, "chunks").where("id is not null").withColumn("nth", F.row_number().over(order)), "deliveries")
+    times = rows.agg(F.coalesce(F.max("nth"), F.lit(0))).first()[0]
+    store = _store(spark, d, *[rows.where(F.col("nth") == n).drop("nth") for n in range(1, times + 1)])
+    return store.chunks().select("id", "repo", "path", "git_sha", "start_line")
 
-@query(f"""WITH {C}, gone AS ({_OBS.replace('WITH obs', 'WITH obs', 1)} SELECT repo, path {_PENDING})
+
+@query(f"""WITH {C}, gone AS ({_OBS} SELECT repo, path {_PENDING})
 SELECT C.id, C.repo, C.path FROM C LEFT JOIN gone ON gone.repo = C.repo AND gone.path = C.path WHERE gone.path IS NULL""")
 def store_delete_by_file(spark, d):
     """What is left of the store after deleting the chunks of every file that is pending."""
-    gone = incremental.pending_files(table(spark, d, "indexed_files")).select("repo", "path")
-    return views.chunks(spark, d, "id", "repo", "path").join(gone, ["repo", "path"], "left_anti").select("id", "repo", "path")
+    store = _store(spark, d)
+    store.delete_by_file(incremental.pending_files(table(spark, d, "indexed_files")).select("repo", "path"))
+    return store.chunks().select("id", "repo", "path")
 
 
-@query(f"WITH {C} SELECT count(*) AS chunks, count(DISTINCT path) AS files, count(DISTINCT (repo, path)) AS files_by_repo, (SELECT count(*) FROM embeddings) AS vectors FROM C")
+@query(f"WITH {C} SELECT count(*) AS chunks, count(DISTINCT path) AS files, count(DISTINCT (repo, path)) AS files_by_repo, count(*) AS vectors FROM C")
 def store_stats(spark, d):
-    c = views.chunks(spark, d, "id", "repo", "path").agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct("path").alias("files"), F.count_distinct("repo", "path").alias("files_by_repo"))
-    v = table(spark, d, "embeddings").agg(F.count(F.lit(1)).alias("vectors"))
-    return c.join(v)  # one row each
+    stats = _store(spark, d).stats()
+    return spark.createDataFrame([tuple(stats[n] for n in ("chunks", "files", "files_by_repo", "vectors"))], "chunks long, files long, files_by_repo long, vectors long")
 
 
 @query(f"""WITH {C}, {H} SELECT H.qid, H.rank::BIGINT AS position, C.id, C.repo, C.path FROM H JOIN C ON C.id = H.chunk_id WHERE H.source = 'reranked'""")
 def get_by_ids(spark, d):
     """Chunks of the reranked ids of each search, in the order asked for; ids that are not stored are dropped."""
     ids = views.hits(spark, d).where("source = 'reranked'").select("qid", F.col("rank").cast("long").alias("position"), F.col("chunk_id").alias("id"))
-    return ids.join(views.chunks(spark, d, "id", "repo", "path"), "id").select("qid", "position", "id", "repo", "path")
+    return _store(spark, d).get_many(ids).select("qid", "position", "id", "repo", "path")
 
 
 @query("SELECT p AS prefix, coalesce(bool_or(starts_with(path, p)), false) AS present FROM (VALUES ('src/lib/'), ('src/li%'), ('pkg'), ('absent/')) v(p) LEFT JOIN chunks ON true GROUP BY p")
 def has_path_prefix(spark, d):
-    prefixes = ("src/lib/", "src/li%", "pkg", "absent/")
-    one = table(spark, d, "chunks").agg(*[F.coalesce(F.max(F.col("path").startswith(p)), F.lit(False)).alias(f"p{i}") for i, p in enumerate(prefixes)])
-    return one.select(F.explode(F.array(*[F.struct(F.lit(p).alias("prefix"), F.col(f"p{i}").alias("present")) for i, p in enumerate(prefixes)])).alias("x")).select("x.*")
+    store = _store(spark, d)
+    return spark.createDataFrame([(p, store.has_path_prefix(p)) for p in ("src/lib/", "src/li%", "pkg", "absent/")], "prefix string, present boolean")
 
 
 @query(f"WITH {C} SELECT id, repo, path FROM C WHERE repo = 'harbor-platform' AND language = 'go' AND symbol_kind = 'function' AND starts_with(path, 'apps/')")
@@ -560,13 +578,23 @@ def eval_noisy_oracle(spark, d):
     return _rounded(evaluate.aggregate(evaluate.per_question(q, evaluate.retrieved_files(evaluate.noisy_hits(q)))))
 
 
-@query("""SELECT id, 'duplicate id' AS problem FROM questions GROUP BY id HAVING count(*) > 1
-UNION ALL SELECT id, 'answerable but has no expected files' FROM questions WHERE answerable AND len(coalesce(expected_files, [])) = 0
-UNION ALL SELECT id, 'unanswerable but has expected files' FROM questions WHERE NOT answerable AND len(coalesce(expected_files, [])) > 0
-UNION ALL SELECT NULL, 'no answerable questions' FROM (SELECT count(*) FILTER (answerable) AS n FROM questions) WHERE n = 0
-UNION ALL SELECT NULL, 'no unanswerable questions' FROM (SELECT count(*) FILTER (NOT answerable) AS n FROM questions) WHERE n = 0""")
+_FAULTY = """q AS (
+  SELECT CASE WHEN id = (SELECT max(id) FROM questions) THEN (SELECT min(id) FROM questions) ELSE id END AS id,
+    CASE WHEN category = 'locational' THEN NOT answerable ELSE answerable END AS answerable, expected_files FROM questions)"""
+
+
+@query(f"""WITH {_FAULTY} SELECT id, 'duplicate id' AS problem FROM q GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT id, 'answerable but has no expected files' FROM q WHERE answerable AND len(coalesce(expected_files, [])) = 0
+UNION ALL SELECT id, 'unanswerable but has expected files' FROM q WHERE NOT answerable AND len(coalesce(expected_files, [])) > 0
+UNION ALL SELECT NULL, 'no answerable questions' FROM (SELECT count(*) FILTER (answerable) AS n FROM q) WHERE n = 0
+UNION ALL SELECT NULL, 'no unanswerable questions' FROM (SELECT count(*) FILTER (NOT answerable) AS n FROM q) WHERE n = 0""")
 def gt_validate(spark, d):
-    return evaluate.ground_truth_problems(table(spark, d, "questions"))
+    """The problems of the questions with faults put in: one id twice, and every answerable mark of one category turned round."""
+    q = table(spark, d, "questions")
+    ends = q.agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    faulty = q.crossJoin(F.broadcast(ends)).withColumn("id", F.when(F.col("id") == F.col("hi"), F.col("lo")).otherwise(F.col("id")))  # one row
+    turned = F.when(F.col("category") == "locational", ~F.col("answerable")).otherwise(F.col("answerable"))
+    return evaluate.ground_truth_problems(faulty.withColumn("answerable", turned))
 
 
 @query("SELECT id, category, difficulty FROM questions WHERE coalesce(verified, false) OR NOT answerable")
