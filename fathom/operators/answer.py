@@ -25,16 +25,49 @@ def _claims(answers: DataFrame) -> DataFrame:
     return answers.select("qid", F.posexplode("claims").alias("claim", "c")).select("qid", "claim", F.col("c.text").alias("text"), F.col("c.citations").alias("citations"))
 
 
-def _judged(answers: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(claims, citations with whether known, quotes with whether found in a cited source)."""
-    claims = _claims(answers)
-    cited = claims.select("qid", "claim", F.posexplode("citations").alias("at", "ref"))
-    known = sources.select("qid", "ref", normalise(F.col("content")).alias("body"))
-    cited = cited.join(known, ["qid", "ref"], "left")
-    quotes = claims.select("qid", "claim", F.posexplode(extract_quotes(F.col("text"))).alias("q", "quote"))
-    found = quotes.join(cited.where("body is not null").select("qid", "claim", "body"), ["qid", "claim"], "left")
-    found = found.groupBy("qid", "claim", "q", "quote").agg(F.coalesce(F.max(F.contains("body", "quote")), F.lit(False)).alias("found"))
-    return claims, cited.select("qid", "claim", "at", "ref", F.col("body").isNotNull().alias("known")), found
+def _judged(answers: DataFrame, sources: DataFrame) -> DataFrame:
+    """(qid, answer, judged) with an array of (claim, text, refs, known, quotes) for each answer: the references with
+    whether they are known, whether one is, and the quotes with whether a cited source holds them literally.
+
+    The sources of a query are few (they are numbered in its prompt), so they are one array a query and everything
+    else is done within the row, after a single join.
+    """
+    own = sources.groupBy("qid").agg(F.collect_list(F.struct("ref", normalise(F.col("content")).alias("body"))).alias("own"))
+    rows = answers.join(own, "qid", "left").withColumn("own", F.coalesce("own", F.array().cast("array<struct<ref:int,body:string>>")))
+
+    def judge(c, at):
+        cited = F.filter("own", lambda s: F.array_contains(c["citations"], s["ref"]) & s["body"].isNotNull())
+        refs = F.transform(c["citations"], lambda r: F.struct(r.alias("ref"), F.exists("own", lambda s: (s["ref"] == r) & s["body"].isNotNull()).alias("known")))
+        quotes = F.transform(extract_quotes(c["text"]), lambda q: F.struct(q.alias("quote"), F.exists(cited, lambda s: F.contains(s["body"], q)).alias("found")))
+        return F.struct(at.alias("claim"), c["text"].alias("text"), refs.alias("refs"), (F.size(cited) > 0).alias("known"), quotes.alias("quotes"))
+
+    return rows.select("qid", "answer", F.transform(F.coalesce("claims", F.array().cast(_CLAIMS)), judge).alias("judged"))
+
+
+_CLAIMS = "array<struct<text:string,citations:array<int>>>"
+
+
+def _faults() -> Column:
+    """The faults (kind, claim, detail) of a judged answer, in order."""
+
+    def fault(kind: str, claim: Column, detail: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), claim.cast("int").alias("claim"), detail.alias("detail"))
+
+    def of_claim(j):
+        label = F.concat(F.lit("claim "), (j["claim"] + 1).cast("string"))
+        unknown = F.transform(F.filter(j["refs"], lambda r: ~r["known"]), lambda r: fault("unknown-citation", j["claim"], F.concat(label, F.lit(" cites unknown source "), r["ref"].cast("string"))))
+        uncited = F.when(~j["known"], F.array(fault("uncited-claim", j["claim"], F.concat(label, F.lit(" has no valid citation: "), F.substring(j["text"], 1, 80)))))
+        missing = F.transform(F.filter(j["quotes"], lambda q: ~q["found"]), lambda q: fault("quote-not-found", j["claim"], F.concat(label, F.lit(" quotes what its sources lack: "), F.substring(q["quote"], 1, 60))))
+        return F.concat(unknown, F.coalesce(uncited, F.array().cast(_FAULTS)), missing)
+
+    none = F.lit(None).cast("int")
+    empty = F.when(F.coalesce(F.trim("answer"), F.lit("")) == "", F.array(fault("empty-answer", none, F.lit("the answer is empty"))))
+    bare = F.when(F.size("judged") == 0, F.array(fault("no-claims", none, F.lit("the answer has no claims"))))
+    nothing = F.array().cast(_FAULTS)
+    return F.concat(F.coalesce(empty, nothing), F.coalesce(bare, nothing), F.flatten(F.transform("judged", of_claim)))
+
+
+_FAULTS = "array<struct<kind:string,claim:int,detail:string>>"
 
 
 def validation_errors(answers: DataFrame, sources: DataFrame) -> DataFrame:
@@ -43,31 +76,18 @@ def validation_errors(answers: DataFrame, sources: DataFrame) -> DataFrame:
     Kinds: empty-answer, no-claims, unknown-citation (each bad reference), uncited-claim (no known reference),
     quote-not-found (quoted code that stands literally in no cited source). Claims count from 0; null for the answer.
     """
-    claims, cited, quotes = _judged(answers, sources)
-    none = F.lit(None).cast("int").alias("claim")
-    empty = answers.where(F.coalesce(F.trim("answer"), F.lit("")) == "").select("qid", F.lit("empty-answer").alias("kind"), none, F.lit("the answer is empty").alias("detail"))
-    bare = answers.where(F.size(F.coalesce("claims", F.array().cast("array<struct<text:string,citations:array<int>>>"))) == 0)
-    bare = bare.select("qid", F.lit("no-claims").alias("kind"), none, F.lit("the answer has no claims").alias("detail"))
-    number = (F.col("claim") + 1).cast("string")
-    unknown = cited.where(~F.col("known")).select("qid", F.lit("unknown-citation").alias("kind"), "claim", F.concat(F.lit("claim "), number, F.lit(" cites unknown source "), F.col("ref")).alias("detail"))
-    has = cited.where("known").select("qid", "claim").distinct()
-    uncited = claims.join(has, ["qid", "claim"], "left_anti").select("qid", F.lit("uncited-claim").alias("kind"), "claim", F.concat(F.lit("claim "), number, F.lit(" has no valid citation: "), F.substring("text", 1, 80)).alias("detail"))
-    missing = quotes.where(~F.col("found")).select("qid", F.lit("quote-not-found").alias("kind"), "claim", F.concat(F.lit("claim "), number, F.lit(" quotes what its sources lack: "), F.substring("quote", 1, 60)).alias("detail"))
-    return empty.unionByName(bare).unionByName(unknown).unionByName(uncited).unionByName(missing)
+    return _judged(answers, sources).select("qid", F.inline(_faults()))
 
 
 def validate(answers: DataFrame, sources: DataFrame) -> DataFrame:
     """(qid, ok, errors, cited_fraction, quotes_checked) of every answer; no claims give a fraction of 0."""
-    claims, cited, quotes = _judged(answers, sources)
-    has = cited.where("known").select("qid", "claim").distinct().groupBy("qid").agg(F.count(F.lit(1)).alias("cited"))
-    size = claims.groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
-    quoted = quotes.groupBy("qid").agg(F.count(F.lit(1)).alias("quotes"))
-    errors = validation_errors(answers, sources).groupBy("qid").agg(F.count(F.lit(1)).alias("errors"))
-    out = answers.select("qid").join(size, "qid", "left").join(has, "qid", "left").join(quoted, "qid", "left").join(errors, "qid", "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    return out.select(
-        "qid", (zero("errors") == 0).alias("ok"), zero("errors").alias("errors"),
-        F.when(zero("n") == 0, 0.0).otherwise(zero("cited") / zero("n")).alias("cited_fraction"), zero("quotes").alias("quotes_checked"),
+    judged = _judged(answers, sources)
+    errors = F.size(_faults()).cast("long")
+    cited = F.size(F.filter("judged", lambda j: j["known"])).cast("long")
+    quotes = F.aggregate("judged", F.lit(0), lambda n, j: n + F.size(j["quotes"])).cast("long")
+    return judged.select(
+        "qid", (errors == 0).alias("ok"), errors.alias("errors"),
+        F.when(F.size("judged") == 0, 0.0).otherwise(cited / F.size("judged")).alias("cited_fraction"), quotes.alias("quotes_checked"),
     )
 
 
@@ -130,15 +150,16 @@ def rewrite_prompt(query: str, variants: int = 2) -> str:
     )
 
 
+RERANK_HEAD = "Score from 0 to 10 how directly each snippet answers the question; 0 is unrelated, 10 holds the answer.\n\nQuestion: "
+RERANK_TAIL = 'Reply with one JSON object: {"scores": [{"id": number, "score": number}]}'
+
+
 def rerank_prompt(query: str, snippets: list[dict], chars: int = 400) -> str:
     parts = [
         f"### {i}\npath: {s['path']}:{s['start_line']}-{s['end_line']}\nsymbol: {s.get('symbol_name') or '(none)'} ({s.get('symbol_kind') or '?'})\n```\n{s['content'][:chars]}\n```"
         for i, s in enumerate(snippets)
     ]
-    return (
-        "Score from 0 to 10 how directly each snippet answers the question; 0 is unrelated, 10 holds the answer.\n\n"
-        f"Question: {query}\n\n" + "\n\n".join(parts) + '\n\nReply with one JSON object: {"scores": [{"id": number, "score": number}]}'
-    )
+    return RERANK_HEAD + "\n\n".join([query, *parts, RERANK_TAIL])
 
 
 # Lenient parsing of replies
@@ -258,16 +279,30 @@ def parse_groundedness(reply: str | None) -> dict | None:
     return {"answerable": value, "missing": missing if isinstance(missing, str) else ""}
 
 
+_PADDED = r"(?U)^\s|\s\z"
+
+
 def parsed_answers(replies: DataFrame) -> DataFrame:
-    """Replies (qid, reply) with ``parsed`` (null where unusable); strict JSON is parsed in the JVM, the rest in Python."""
+    """Replies (qid, reply) with ``parsed`` (null where unusable): replies in the form asked for are parsed in the JVM,
+    only the others in Python."""
 
     @F.pandas_udf(ANSWER_SCHEMA)
     def lenient(reply: pd.Series) -> pd.DataFrame:
         rows = [parse_answer(r) or {"answer": None, "claims": None, "confidence": None} for r in reply]
         return pd.DataFrame(rows, columns=["answer", "claims", "confidence"])
 
-    out = replies.withColumn("parsed", lenient("reply"))
-    return out.withColumn("parsed", F.when(F.col("parsed.confidence").isNotNull(), F.col("parsed")))
+    strict = F.from_json("reply", "answer string, claims array<struct<text:string,citations:array<int>>>, confidence double", {"mode": "PERMISSIVE"})
+    out = replies.withColumn("_s", strict)
+    # whatever is missing, empty, null or out of range is left to the lenient reader
+    sound = (
+        F.col("reply").rlike(r'^\s*\{[\s\S]*\}\s*$') & ~F.col("_s.answer").rlike(_PADDED) & F.col("_s.confidence").between(0, 1)
+        & (F.size("_s.claims") > 0) & F.forall("_s.claims", lambda c: (c["text"] != "") & ~c["text"].rlike(_PADDED) & (F.size(c["citations"]) >= 0) & F.forall(c["citations"], lambda n: n.isNotNull()))
+    )
+    out = out.withColumn("_ok", F.coalesce(sound, F.lit(False)))
+    out = out.withColumn("_l", lenient(F.when(~F.col("_ok"), F.col("reply"))))
+    parsed = F.when(F.col("_ok"), F.struct(F.col("_s.answer").alias("answer"), F.col("_s.claims").alias("claims"), F.col("_s.confidence").alias("confidence")))
+    parsed = F.coalesce(parsed, F.when(F.col("_l.confidence").isNotNull(), F.col("_l")))
+    return out.withColumn("parsed", parsed).drop("_s", "_l", "_ok")
 
 
 def ask(queries: DataFrame, sources: DataFrame, generate: Callable[[DataFrame, int], DataFrame], retries: int = 1) -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import json
 import time
+import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,22 +26,55 @@ KNOWN_DIMS = {
 }
 
 
+#: Prefixes that a model's makers ask for before a query or a document; none of these models gains from one here, so all are empty.
+TASK_PREFIXES = {name: ("", "") for name in ("nomic-embed-text", "bge-m3", "mxbai-embed-large")}
+Fetch = Callable[[str], dict]
+
+
 def http(url: str, body: dict, headers: dict) -> dict:
     request = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json", **headers})
     with urllib.request.urlopen(request, timeout=120) as reply:  # noqa: S310
         return json.loads(reply.read())
 
 
-def with_retry(call: Callable[[], dict], attempts: int = 3, wait: float = 0.25) -> dict:
-    """Call again after 1, 2, 4, ... waits; the last error is raised."""
-    for i in range(attempts):
+def http_get(url: str) -> dict:
+    with urllib.request.urlopen(url, timeout=20) as reply:  # noqa: S310
+        return json.loads(reply.read())
+
+
+def may_pass(error: Exception) -> bool:
+    """Whether a call that failed so may succeed later: anything but a refusal of the request itself."""
+    return not (isinstance(error, urllib.error.HTTPError) and 400 <= error.code < 500 and error.code not in (408, 429))
+
+
+def with_retry(call: Callable[[], dict], waits: tuple[float, ...] = (0.25, 0.5)) -> dict:
+    """The result of ``call``, tried again after each of ``waits`` while the error may pass; the last error is raised."""
+    for wait in waits:
         try:
             return call()
-        except Exception:
-            if i == attempts - 1:
+        except Exception as e:  # noqa: BLE001
+            if not may_pass(e):
                 raise
-            time.sleep(wait * 2**i)
-    raise AssertionError
+            time.sleep(wait)
+    return call()
+
+
+def in_parallel(call: Callable, items: list, at_once: int) -> list:
+    """``call`` of every item, at most ``at_once`` at a time, results in the order of the items."""
+    if at_once <= 1 or len(items) < 2:
+        return [call(x) for x in items]
+    with ThreadPoolExecutor(at_once) as pool:
+        return list(pool.map(call, items))
+
+
+def require_installed(model: str, url: str, fetch: Fetch = http_get) -> None:
+    """Raise unless the service at ``url`` answers and has the model, by its name or its name with any tag."""
+    try:
+        names = [m.get("name", "") for m in fetch(f"{url}/api/tags").get("models") or []]
+    except Exception as e:
+        raise RuntimeError(f"no model service answers at {url}; start it first ({e})") from e
+    if not any(n == model or n.startswith(model + ":") for n in names):
+        raise RuntimeError(f"the model {model} is not installed; there are {', '.join(names) or 'none'}")
 
 
 @dataclass
@@ -76,6 +111,8 @@ class HttpEmbedder:
     document_prefix: str = ""
     transport: Transport = http
     wait: float = 0.25
+    at_once: int = 1
+    fetch: Fetch = http_get
 
     def __post_init__(self) -> None:
         if self.provider == "openai" and not self.key:
@@ -92,16 +129,18 @@ class HttpEmbedder:
         return self.transport(f"{self.url}/api/embed", {"model": self.model, "input": part}, {})["embeddings"]
 
     def embed(self, texts: list[str]) -> list[list[float]]:
-        out: list[list[float]] = []
-        for i in range(0, len(texts), self.batch):
-            out += with_retry(lambda: self._call(texts[i : i + self.batch]), wait=self.wait)  # noqa: B023
+        parts = [texts[i : i + self.batch] for i in range(0, len(texts), self.batch)]
+        waits = (self.wait, 2 * self.wait)
+        out = [v for part in in_parallel(lambda p: with_retry(lambda: self._call(p), waits), parts, self.at_once) for v in part]
         for v in out:
             if len(v) != self.dim:
                 raise EmbeddingMismatchError((self.model, self.dim), (self.model, len(v)))
         return out
 
     def check(self) -> None:
-        """Embed one text, so that a missing service or model is named before a long run."""
+        """Look for the model and embed one text, so that a missing service or model is named before a long run."""
+        if self.provider == "ollama" and self.transport is http:
+            require_installed(self.model, self.url, self.fetch)
         try:
             self.embed(["probe"])
         except EmbeddingMismatchError:
@@ -124,7 +163,8 @@ def create_embedder(spec: str, url: str | None = None, key: str = "", transport:
     if model not in KNOWN_DIMS:
         raise ValueError(f"the dimension of {model!r} is unknown")
     default = "https://api.openai.com/v1" if provider == "openai" else "http://127.0.0.1:11434"
-    return HttpEmbedder(provider, model, KNOWN_DIMS[model], url or default, key, transport=transport)
+    query, document = TASK_PREFIXES.get(model, ("", ""))
+    return HttpEmbedder(provider, model, KNOWN_DIMS[model], url or default, key, query, document, transport)
 
 
 def embed_column(df: DataFrame, embedder, text: str, prefix: str = "", out: str = "embedding") -> DataFrame:
@@ -144,34 +184,35 @@ class HttpModel:
     model: str
     url: str = "http://127.0.0.1:11434"
     transport: Transport = http
+    fetch: Fetch = http_get
+    waits: tuple[float, ...] = (0.25, 0.5)
 
     def generate(self, prompt: str) -> str:
         body = {"model": self.model, "prompt": prompt, "format": "json", "stream": False, "options": {"temperature": 0}}
-        return self.transport(f"{self.url}/api/generate", body, {})["response"]
+        return with_retry(lambda: self.transport(f"{self.url}/api/generate", body, {}), self.waits)["response"]
 
-    def check(self, installed: list[str]) -> None:
-        """Whether the model is among the installed ones, by its name or its name with any tag."""
-        if not any(m == self.model or m.startswith(self.model + ":") for m in installed):
-            raise RuntimeError(f"the model {self.model} is not installed; there are {', '.join(installed) or 'none'}")
+    def check(self, installed: list[str] | None = None) -> None:
+        """Whether the model is among the installed ones, those named or those that the service names."""
+        require_installed(self.model, self.url, self.fetch if installed is None else lambda _: {"models": [{"name": n} for n in installed]})
 
 
-def generate_column(prompts: DataFrame, client) -> DataFrame:
-    """(qid, reply, error) of prompts (qid, prompt); a failing call becomes an error of its row, not of the task."""
-    kind = dict(prompts.dtypes)["qid"]
+def generate_column(prompts: DataFrame, client, key: str = "qid", at_once: int = 1) -> DataFrame:
+    """(key, reply, error) of prompts (key, prompt), ``at_once`` calls at a time in each task; a failing call becomes an
+    error of its row, not of the task."""
+    kind = dict(prompts.dtypes)[key]
+
+    def ask(prompt: str) -> tuple[str | None, str | None]:
+        try:
+            return client.generate(prompt), None
+        except Exception as e:  # noqa: BLE001
+            return None, str(e) or type(e).__name__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            replies, errors = [], []
-            for p in batch.column(1).to_pylist():
-                try:
-                    replies.append(client.generate(p))
-                    errors.append(None)
-                except Exception as e:  # noqa: BLE001
-                    replies.append(None)
-                    errors.append(str(e) or type(e).__name__)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(replies, pa.string()), pa.array(errors, pa.string())], ["qid", "reply", "error"])
-
-    return prompts.select("qid", "prompt").mapInArrow(run, f"qid {kind}, reply string, error string")
+            rows = in_parallel(ask, batch.column(1).to_pylist(), at_once)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r for r, _ in rows], pa.string()), pa.array([e for _, e in rows], pa.string())], [key, "reply", "error"])
+
+    return prompts.select(key, "prompt").mapInArrow(run, f"{key} {kind}, reply string, error string")
 
 
 @dataclass
