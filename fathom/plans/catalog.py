@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.functions import text as tx
-from fathom.operators import answer, chunking, evaluate, incremental, search
+from fathom.operators import answer, chunking, evaluate, incremental, search, summary
 from fathom.operators.store import Store
 from fathom.plans import views
 from fathom.plans.views import C, H, RECORDED, S, bm25_sql
@@ -296,39 +296,28 @@ def merge_tiny_chunks(spark, d):
 
 @query(f"WITH {C} SELECT coalesce(symbol_kind, 'none') AS kind, count(*) AS n FROM C GROUP BY ALL")
 def summary_by_kind(spark, d):
-    return views.chunks(spark, d, "id", "symbol_kind").groupBy(F.coalesce("symbol_kind", F.lit("none")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    return summary.by_kind(views.chunks(spark, d, "id", "symbol_kind"))
 
 
 @query(f"WITH {C} SELECT language, count(*) AS n FROM C GROUP BY ALL")
 def summary_by_language(spark, d):
-    return views.chunks(spark, d, "id", "language").groupBy("language").agg(F.count(F.lit(1)).alias("n"))
+    return summary.by_language(views.chunks(spark, d, "id", "language"))
 
 
 @query(f"WITH {C} SELECT CASE WHEN length(content) < 500 THEN '<500' WHEN length(content) < 1500 THEN '<1500' WHEN length(content) < 3000 THEN '<3000' WHEN length(content) < 6000 THEN '<6000' ELSE '6000+' END AS bucket, count(*) AS n FROM C GROUP BY ALL")
 def summary_size_buckets(spark, d):
-    n = F.length("content")
-    bucket = F.when(n < 500, "<500").when(n < 1500, "<1500").when(n < 3000, "<3000").when(n < 6000, "<6000").otherwise("6000+")
-    return views.chunks(spark, d, "id", "content").groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    return summary.by_size(views.chunks(spark, d, "id", "content"))
 
 
 @query(f"""WITH {C}, z AS (SELECT length(content) AS n, symbol_name FROM C)
 SELECT count(*) AS chunks, (SELECT n FROM z ORDER BY n LIMIT 1 OFFSET (SELECT count(*) // 2 FROM z))::BIGINT AS median, count(*) FILTER (n > 3000) AS oversized, count(*) FILTER (symbol_name IS NULL) AS unnamed FROM z""")
 def summary_scalar(spark, d):
-    """Counts and the upper median, from counts per size rather than a sort of all rows."""
-    z = views.chunks(spark, d, "id", "content", "symbol_name").select(F.length("content").alias("n"), F.col("symbol_name").isNull().alias("bare"))
-    sizes = z.groupBy("n").agg(F.count(F.lit(1)).alias("c"), F.count(F.when(F.col("bare"), 1)).alias("u"))
-    # sizes of chunks are few, so this window over one partition holds one row a size
-    from pyspark.sql import Window
-
-    run = sizes.withColumn("upto", F.sum("c").over(Window.orderBy("n"))).withColumn("all", F.sum("c").over(Window.partitionBy()))
-    return run.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("chunks"), F.min(F.when(F.col("upto") > F.floor(F.col("all") / 2), F.col("n"))).cast("long").alias("median"),
-                   F.coalesce(F.sum(F.when(F.col("n") > 3000, F.col("c"))), F.lit(0)).alias("oversized"), F.coalesce(F.sum("u"), F.lit(0)).alias("unnamed"))
+    return summary.totals(views.chunks(spark, d, "id", "content", "symbol_name"))
 
 
 @query(f"WITH {C} SELECT id, path, length(content)::INTEGER AS n FROM C ORDER BY length(content) DESC, id LIMIT 5")
 def summary_largest(spark, d):
-    c = views.chunks(spark, d, "id", "path", "content").select("id", "path", F.length("content").alias("n"))
-    return c.orderBy(F.col("n").desc(), "id").limit(5)
+    return summary.largest(views.chunks(spark, d, "id", "path", "content"))
 
 
 # Search
