@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathom.operators.ranks import cumulative_counts
+
 KS = (5, 10, 20, 50)
 SIGNALS = ("top_score", "concentration", "gap_ratio", "decay", "above_half", "candidate_count")
 
@@ -69,9 +71,10 @@ def spread_subset(questions: DataFrame, limit: int, order: str = "id") -> DataFr
     n = questions.count()
     if limit >= n:
         return questions
-    wanted = questions.sparkSession.range(limit).select(F.floor(F.col("id") * n / limit).cast("int").alias("_pos"))
-    numbered = questions.withColumn("_pos", F.row_number().over(Window.orderBy(order)) - 1)
-    return numbered.join(F.broadcast(wanted), "_pos").drop("_pos")
+    numbered = cumulative_counts(questions.withColumn("_one", F.lit(1)), [], [order], "_one")
+    # the only i that can lead to a position is the least with i * n / limit at or beyond it
+    i = F.ceil(F.col("before") * limit / F.lit(n))
+    return numbered.where(F.floor(i * F.lit(n) / limit) == F.col("before")).select(*questions.columns)
 
 
 def ground_truth_problems(q: DataFrame) -> DataFrame:
@@ -200,8 +203,18 @@ def noisy_hits(questions: DataFrame, distractors: int = 4) -> DataFrame:
 
 
 def random_hits(questions: DataFrame, files: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    """The floor: ``k`` files a question in the order of a hash of seed, question and file (qid, path, rank)."""
+    """The floor: ``k`` different files a question, drawn by a hash of seed and question (qid, path, rank).
+
+    The files are numbered and a question draws numbers, so no question meets all files; only where there are fewer
+    than eight times ``k`` files it does, and takes the first by hash.
+    """
     pool = files.select("path").distinct()
-    mixed = questions.select("qid").join(pool).withColumn("h", F.xxhash64(F.lit(seed), "qid", "path"))
-    ranked = mixed.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("h", "path")))
-    return ranked.where(F.col("rank") <= k).select("qid", "path", "rank")
+    n = pool.count()
+    if n <= 8 * k:
+        mixed = questions.select("qid").crossJoin(F.broadcast(pool)).withColumn("h", F.xxhash64(F.lit(seed), "qid", "path"))  # at most 8k files
+        ranked = mixed.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("h", "path")))
+        return ranked.where(F.col("rank") <= k).select("qid", "path", "rank")
+    numbered = cumulative_counts(pool.withColumn("_one", F.lit(1)), [], ["path"], "_one").select("path", F.col("before").alias("number"))
+    draws = F.transform(F.sequence(F.lit(1), F.lit(3 * k)), lambda j: F.pmod(F.xxhash64(F.lit(seed), "qid", j), F.lit(n)).cast("long"))
+    drawn = questions.select("qid", F.posexplode(F.slice(F.array_distinct(draws), 1, k)).alias("at", "number"))
+    return drawn.join(numbered, "number").select("qid", "path", (F.col("at") + 1).alias("rank"))

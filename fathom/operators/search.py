@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,22 +66,29 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2", bloc
                 vid = np.array(batch.column(0).to_pylist(), object)
                 if not len(vid):
                     continue
-                v = np.array(batch.column(1).to_pylist(), float)
-                if v.shape[1] != matrix.shape[1]:
-                    raise ValueError(f"query vectors have {matrix.shape[1]} dimensions, stored ones {v.shape[1]}")
+                lengths = pc.list_value_length(batch.column(1)).to_numpy()
+                if (lengths != matrix.shape[1]).any():
+                    raise ValueError(f"query vectors have {matrix.shape[1]} dimensions, stored ones {lengths[lengths != matrix.shape[1]][0]}")
+                v = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vid), -1)
+                size = np.sqrt((v**2).sum(axis=1))
+                product = matrix @ v.T
                 if metric == "l2":
-                    distance = np.stack([np.sqrt(((v - q) ** 2).sum(axis=1)) for q in matrix])
-                    score, order = 1 / (1 + distance), distance
+                    order = length[:, None] ** 2 + size[None, :] ** 2 - 2 * product
+                    slack = 1e-9 * (length**2 + size.max() ** 2)
                 else:
-                    norm = length[:, None] * np.sqrt((v**2).sum(axis=1))[None, :]
-                    score = np.divide(matrix @ v.T, norm, out=np.zeros_like(norm), where=norm > 0)
-                    order = -score
+                    norm = length[:, None] * size[None, :]
+                    order = -np.divide(product, norm, out=np.zeros_like(norm), where=norm > 0)
+                    slack = np.zeros(len(matrix))
                 n = min(k, len(vid))
-                near = np.argpartition(order, n - 1, axis=1)[:, :n]
-                # ties at the edge: everything as near as the n-th stays
-                edge = np.take_along_axis(order, near, axis=1).max(axis=1)
-                q, j = np.nonzero(order <= edge[:, None])
-                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in q]), pa.array(vid[j].tolist()), pa.array(score[q, j]), pa.array(order[q, j])], ["qid", "vid", "score", "distance"])
+                # ties at the edge, and what rounding may have put beyond it, stay
+                edge = np.partition(order, n - 1, axis=1)[:, n - 1]
+                q, j = np.nonzero(order <= (edge + slack)[:, None])
+                if metric == "l2":
+                    distance = np.sqrt(((v[j] - matrix[q]) ** 2).sum(axis=1))
+                    score = 1 / (1 + distance)
+                else:
+                    distance, score = order[q, j], -order[q, j]
+                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in q]), pa.array(vid[j].tolist()), pa.array(score), pa.array(distance)], ["qid", "vid", "score", "distance"])
 
         source = vectors.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0)).select("vid", "embedding")
         return source.mapInArrow(run, f"qid {types[0]}, vid {types[1]}, score double, distance double")

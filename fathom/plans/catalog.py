@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.functions import text as tx
-from fathom.operators import answer, chunking, evaluate, incremental, search, summary
+from fathom.operators import answer, chunking, evaluate, incremental, models, search, summary
 from fathom.operators.store import Store
 from fathom.plans import views
 from fathom.plans.views import C, H, RECORDED, S, bm25_sql
@@ -471,6 +472,36 @@ def rerank_cache_lookup(spark, d):
     return keys.join(cache, "key", "left").select("qid", "batch", "key", "n", F.coalesce("cached", F.lit(False)).alias("cached"))
 
 
+def _model():
+    """A model that answers by rule: snippets score their place in the batch, a question is varied by adding a word."""
+
+    class Scripted:
+        model = "scripted"
+
+        def generate(self, prompt: str) -> str:
+            if "search queries" in prompt:
+                query = prompt.split("\n\nQuestion: ")[1].split("\n\nReply with")[0]
+                return json.dumps({"queries": [f"{query} code", f"{query} symbol"]})
+            return json.dumps({"scores": [{"id": i, "score": i} for i in range(prompt.count("\n### ") + prompt.startswith("### "))]})
+
+    return Scripted()
+
+
+@query("SELECT qid, n, trim(query) || w AS query FROM searches, (VALUES (1::INTEGER, ' code'), (2, ' symbol')) v(n, w)")
+def model_rewrites(spark, d):
+    """The variants of every search from a scripted model, each distinct question asked once."""
+    return models.rewrite_queries(table(spark, d, "searches").select("qid", F.trim("query").alias("query")), _model(), at_once=4)[0]
+
+
+@query(f"WITH {H} SELECT H.qid, chunk_id AS doc, ((rank - 1) % 10)::DOUBLE AS value FROM H JOIN searches s ON s.qid = H.qid WHERE source = 'fused'")
+def model_rerank_scores(spark, d):
+    """A scripted model's scores of the fused hits, ten to a call."""
+    s = table(spark, d, "searches").select("qid", "query")
+    base = views.hits(spark, d).where("source = 'fused'").join(s, "qid").select("qid", "query", F.col("chunk_id").alias("doc"), "rank")
+    chunks = views.chunks(spark, d, "id", "path", "start_line", "end_line", "symbol_name", "symbol_kind", "content")
+    return models.rerank_scores(base, chunks, _model(), at_once=4)[0]
+
+
 # Evaluation
 
 _BM_Q = bm25_sql("C", "id", _CODE, "QA", "id", "question")
