@@ -18,7 +18,7 @@ from fathom.functions.text import matches
 from fathom.operators import search
 from fathom.operators.incremental import actions
 from fathom.schema import CHUNK_SCHEMA, EmbeddingMismatchError, fields
-from fathom.session import materialize, scratch
+from fathom.session import folder, materialize, scratch
 from fathom.sources.pointer import Pointer
 
 VECTOR_SCHEMA = fields("id string, embedding array<float>")
@@ -31,10 +31,13 @@ BROADCAST_IDS = 500_000
 
 
 class Store:
-    """Chunks with their vectors and the hashes of the files they came from, for one embedding model."""
+    """Chunks with their vectors and the hashes of the files they came from, for one embedding model.
 
-    def __init__(self, spark: SparkSession, root: str, model: str, dim: int, prefix: str = ""):
-        self.spark, self.root, self.model, self.dim, self.prefix = spark, root.rstrip("/"), model, dim, prefix
+    Without ``root`` the store lives in the shared folder for as long as the driver.
+    """
+
+    def __init__(self, spark: SparkSession, root: str | None, model: str, dim: int, prefix: str = ""):
+        self.spark, self.root, self.model, self.dim, self.prefix = spark, (root or folder(spark, "store")).rstrip("/"), model, dim, prefix
         self._pointer = Pointer(spark, f"{self.root}/versions")
         meta = self._pointer.read()
         if meta:

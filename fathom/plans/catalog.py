@@ -13,7 +13,8 @@ from fathom.operators import answer, chunking, evaluate, incremental, models, se
 from fathom.operators.store import Store
 from fathom.plans import views
 from fathom.plans.views import C, H, RECORDED, S, bm25_sql
-from fathom.session import folder, materialize, table
+from fathom.session import materialize, table
+from fathom.streaming.indexer import windowed_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -62,7 +63,7 @@ def p3_pending(spark, d):
 
 def _store(spark, d, *deliveries: DataFrame) -> Store:
     """A store of the given deliveries of chunks, each a change of its own; a vector stands for a chunk's embedding."""
-    store = Store(spark, folder(spark, "store"), "stand-in", 2)
+    store = Store(spark, None, "stand-in", 2)
     for rows in deliveries or (views.chunks(spark, d),):
         vector = F.array(F.length("content").cast("float"), F.col("start_line").cast("float"))
         store.upsert(rows.withColumn("embedding_model", F.lit("stand-in")).withColumn("embedding_dim", F.lit(2)).withColumn("embedding", vector))
@@ -75,7 +76,7 @@ FROM cur FULL JOIN old ON cur.repo = old.repo AND cur.path = old.path""")
 def index_incremental(spark, d):
     """The plan of a run against a store that holds the committed hashes."""
     obs = incremental.observations(table(spark, d, "indexed_files"))
-    store = Store(spark, folder(spark, "store"), "stand-in", 2)
+    store = Store(spark, None, "stand-in", 2)
     store.apply(files=incremental.committed_state(obs))
     return store.plan(incremental.current_versions(obs), prune=True)
 
@@ -126,6 +127,13 @@ def filter_chunks(spark, d):
     return table(spark, d, "chunks").where(keep & F.col("id").isNotNull()).select("id", "repo", "path").dropDuplicates(["id"])
 
 
+@query("""SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, event_type, count(*) AS events, round(sum(value), 6) AS total FROM events GROUP BY ALL""")
+def event_windows(spark, d):
+    """Events per hour and type, by the function that a stream runs with."""
+    out = windowed_counts(table(spark, d, "events"))
+    return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "event_type", "events", F.round("total", 6).alias("total"))
+
+
 # Paths and text
 
 @query(r"""SELECT DISTINCT repo, path, NOT list_has_any(string_split(path, '/'), ['node_modules','.git','.next','dist','build','out','coverage','.turbo','.vercel','__snapshots__','.pnpm-store'])
