@@ -44,13 +44,20 @@ SHARED = 3
 BROADCAST_KEYS = 1_000_000
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, as the arrays made of one are many times its size."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def shingle_sets(df: DataFrame, id_col: str = "id", text_col: str = "content", width: int = 3) -> DataFrame:
     """(id, key, n, elems): the set of each text; ``key`` is a hash of the set, ``elems`` its sorted hashes."""
     rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = TokenHasher()
-        for batch in batches:
+        hasher = TokenHasher(100_000)
+        for batch in _slices(batches):
             ids, keys, ns, elems = [], [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 s = np.unique(shingle_hashes(hasher(TOKEN.findall(text.lower())), width))
@@ -103,7 +110,7 @@ def _emit_signatures(gamma: float, cap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # equal sets of a task emit once
         hot = np.empty(0, np.int64)
-        for batch in batches:
+        for batch in _slices(batches):
             if len(seen) >= 1_000_000:
                 seen.clear()  # between batches, so that a batch holds no set twice
             sigs, keys = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
