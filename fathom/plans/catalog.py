@@ -402,7 +402,8 @@ def bm25_phrase(spark, d):
     q = table(spark, d, "searches").where(F.col("query").rlike("[a-z]+_[a-z]+"))
     q = q.select("qid", F.array_join(F.regexp_extract_all("query", F.lit("[a-z]+_[a-z]+[a-z_]*"), F.lit(0)), " ").alias("query"))
     out = search.bm25(q, _code(spark, d), 2_000_000_000)
-    return out.select("qid", "doc", F.round(F.col("score") / (1 - F.col("score")), 7).alias("raw"))
+    raw = F.round(F.col("score") / (1 - F.col("score")), 9)  # as it was before squashing
+    return out.select("qid", "doc", F.round(raw, 7).alias("raw"))
 
 
 @query(f"""WITH {C}, T AS (SELECT qid, k, list_filter(regexp_split_to_array(lower(query), '[^A-Za-z0-9_]+'), lambda t: length(t) > 2) AS terms FROM searches
