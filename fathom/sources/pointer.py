@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import time
 import uuid
 
 from pyspark.sql import SparkSession
@@ -50,7 +51,14 @@ class Pointer:
     def latest(self) -> tuple[int, dict | None]:
         """(number, content) of the version in force; (0, None) before the first."""
         numbers = self._numbers()
-        return (numbers[-1], self._load(numbers[-1])) if numbers else (0, None)
+        if not numbers:
+            return 0, None
+        for wait in (0.05, 0.2, 1.0):
+            try:
+                return numbers[-1], self._load(numbers[-1])
+            except ValueError:  # created but not yet written, where hard links are lacking
+                time.sleep(wait)
+        return numbers[-1], self._load(numbers[-1])
 
     def read(self) -> dict | None:
         return self.latest()[1]
@@ -81,6 +89,8 @@ class Pointer:
                 os.link(os.path.join(folder, tmp), os.path.join(folder, name))
             except FileExistsError as e:
                 raise ConcurrentCommit(f"{name} is taken") from e
+            except OSError:
+                self._create(folder, tmp, name)  # a file system without hard links
             return
         none = self._spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0)
         try:
@@ -89,3 +99,15 @@ class Pointer:
             if "FileAlreadyExists" in str(e):
                 raise ConcurrentCommit(f"{name} is taken") from e
             raise
+
+    @staticmethod
+    def _create(folder: str, tmp: str, name: str) -> None:
+        """Publish by exclusive creation; the content is one short write, so no reader sees a part of it for long."""
+        with open(os.path.join(folder, tmp), "rb") as f:
+            content = f.read()
+        try:
+            out = os.open(os.path.join(folder, name), os.O_WRONLY | os.O_CREAT | os.O_EXCL, 0o644)
+        except FileExistsError as e:
+            raise ConcurrentCommit(f"{name} is taken") from e
+        with os.fdopen(out, "wb") as f:
+            f.write(content)
