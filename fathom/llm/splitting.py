@@ -19,6 +19,7 @@ several times comes out once; a text whose brackets do not balance is split by i
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -93,7 +94,9 @@ def unit_lines(text: str, kind: str | None, language: str | None) -> tuple[list[
         previous = i
     out = []
     for i in starts:
-        while i > body and comment[i - 1] and lines[i - 1].strip():
+        # where indentation makes blocks, a comment set deeper ends the block above and does not belong to the unit below
+        reach = indent(lines[i]) if python else math.inf
+        while i > body and comment[i - 1] and lines[i - 1].strip() and indent(lines[i - 1]) <= reach:
             i -= 1
         out.append(i)
     if not out:

@@ -113,3 +113,10 @@ def test_every_piece_within_the_limit_when_units_may_be_cut(spark):
     line = [p["text"] for p in got["line"]]
     assert all(b.startswith(a[-200:]) for a, b in zip(line, line[1:])) and {p["start_line"] for p in got["line"]} == {7}
     assert len(run(spark, rows)["unit"]) == 1 and "line" not in run(spark, rows)
+
+
+def test_a_comment_that_ends_a_python_block_stays_in_it():
+    py = "def f(a):\n    x = 1\n    for b in a:\n        g(b)\n        # last of the block\n    for c in a:\n        h(c)\n        # last too\n    # about the next\n    return x\n"
+    assert unit_lines(py, "function", "python") == ([0, 2, 5, 8], [1, 4, 7, 9])
+    ts = "function f(a) {\n  x = 1;\n      // set askew, but about the next\n  y = 2;\n}"
+    assert unit_lines(ts, "function", "ts") == ([0, 2], [1, 4])
