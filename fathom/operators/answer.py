@@ -194,6 +194,13 @@ def _number(v) -> float | None:
     return x if x is not None and x == x and abs(x) != float("inf") else None
 
 
+# The names under which models give an index, a score, citations and whether an answer is there.
+INDEX_NAMES = ("id", "index", "snippet")
+SCORE_NAMES = ("score", "relevance", "rating", "value")
+CITATION_NAMES = ("citations", "sources", "refs")
+ANSWERABLE_NAMES = ("answerable", "contains_answer", "can_answer")
+
+
 def parse_scores(reply: str | None, n: int) -> list[tuple[int, float]]:
     """(index, score) pairs of a reranking reply in any of its shapes; indexes outside [0, n) are dropped, the last of an index wins."""
 
@@ -201,8 +208,8 @@ def parse_scores(reply: str | None, n: int) -> list[tuple[int, float]]:
         out = []
         for at, row in enumerate(rows):
             if isinstance(row, dict):
-                index = next((row[k] for k in ("id", "index", "snippet") if k in row), at)
-                value = next((row[k] for k in ("score", "relevance", "rating", "value") if k in row), None)
+                index = next((row[k] for k in INDEX_NAMES if k in row), at)
+                value = next((row[k] for k in SCORE_NAMES if k in row), None)
                 out.append((index, value))
             else:
                 out.append((at, row))
@@ -258,7 +265,7 @@ def parse_answer(reply: str | None) -> dict | None:
     for c in data.get("claims") if isinstance(data.get("claims"), list) else []:
         if not isinstance(c, dict) or not isinstance(c.get("text"), str) or not c["text"].strip():
             continue
-        refs = next((c[k] for k in ("citations", "sources", "refs") if isinstance(c.get(k), list)), [])
+        refs = next((c[k] for k in CITATION_NAMES if isinstance(c.get(k), list)), [])
         numbers = [x for x in map(_number, refs) if x is not None and x == int(x)]
         claims.append({"text": c["text"].strip(), "citations": [int(x) for x in numbers]})
     answer = data.get("answer")
@@ -270,7 +277,7 @@ def parse_groundedness(reply: str | None) -> dict | None:
     data = loads_lenient(reply)
     if not isinstance(data, dict):
         return None
-    value = next((data[k] for k in ("answerable", "contains_answer", "can_answer") if k in data), None)
+    value = next((data[k] for k in ANSWERABLE_NAMES if k in data), None)
     if isinstance(value, str):
         value = value.strip().lower().startswith("t") or value.strip().lower() == "yes"
     if not isinstance(value, bool):
