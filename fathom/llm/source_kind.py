@@ -296,8 +296,11 @@ def source_kinds(df: DataFrame, containment: float = 0.6, rare: int = 20, least_
 
         # of each chunk the best container, and the best one that is not of the same single repository
         copies = exact.unionByName(most).where((F.col("share") >= containment) & (F.round(F.col("share") * F.col("size")) >= least_lines))
-        copies = copies.groupBy("chunk", "only").agg(F.max(F.struct("share", "origin")).alias("best"))
-        copies = copies.groupBy("chunk").agg(F.slice(F.sort_array(F.collect_list(F.struct("best", "only")), asc=False), 1, 2).alias("tops"))
+        copies = materialize(copies.groupBy("chunk", "only").agg(F.max(F.struct("share", "origin")).alias("best")), "copies")
+        pick = F.max(F.struct("best", "only"))
+        first = copies.groupBy("chunk").agg(pick.alias("first"))
+        second = copies.join(first, "chunk").where(~F.col("only").eqNullSafe(F.col("first.only"))).groupBy("chunk").agg(pick.alias("second"))
+        copies = first.join(second, "chunk", "left").select("chunk", F.filter(F.array("first", "second"), lambda t: t.isNotNull()).alias("tops"))
         met = rows.join(ruled.select("repo", "path", "kind", "way"), ["repo", "path"], "left").join(copies, "chunk")
         top = F.filter("tops", lambda t: F.col("kind").isNull() | t["only"].isNull() | (t["only"] != F.col("repo")))
         met = met.select("repo", "path", F.get(F.transform(top, lambda t: t["best"]), 0).alias("best")).where("best is not null")
