@@ -11,11 +11,11 @@ brackets or quotes that opened in the same sentence and close later costs more,
 began. The cheapest path through the block gives the sentences. Open paths that another one beats whatever follows are
 dropped, so the time is proportional to the text.
 
-*Spaceless scripts*: word lattices. The text on either side of a gap (a mark with closing quotes, or in Thai a space)
+*Spaceless scripts*: word lattices. In Chinese and Japanese the text on either side of a gap (a mark with closing quotes)
 is segmented by the cheapest path over a dictionary: particles and openings listed below, and the words of these scripts
 in a public tokenizer's vocabulary. A particle that carries on behind the gap makes a cut dear, an opening word behind
-it or a final particle before it makes passing over dear. In Thai the space between two Thai letters has the weight of
-a mark, so the words around it add to it but never outweigh it.
+it or a final particle before it makes passing over dear. Thai is read without a lattice: by definition every space
+between two Thai letters ends a sentence, whatever the words around it.
 
 Defined cases: null texts and rows without id give nothing; empty and blank texts give nothing; a block without
 letter or digit is no sentence; an unclosed fence reaches to the end; very long texts are read whole, in time
@@ -83,12 +83,11 @@ _MONTHS = frozenset(
 _PARTICLES = """と って という といった との とか として とは とも は が を に で も の へ や から まで より など だ です である だった でした
     的 地 得 之 等 而已 之类 似的""".split()
 _OPENINGS = """しかし また そして ただし さらに なお つまり たとえば 例えば もし そのため したがって それで では この その これ それ
-    如果 当 但是 因此 所以 虽然 然而 而且 因为 为了 不过 另外 同时 首先 其次 最后 这 那 该 每 请 见 把 为什么
-    แต่ และ หรือ ดังนั้น เมื่อ ถ้า หาก เพราะ ซึ่ง ทำไม หลัง ก่อน""".split()
+    如果 当 但是 因此 所以 虽然 然而 而且 因为 为了 不过 另外 同时 首先 其次 最后 这 那 该 每 请 见 把 为什么""".split()
 # Common words that begin as a particle does.
 _ALIKE = """とても ところ ところで とき とりあえず もっと もちろん もう まだ まず だから だが ですから でも なので なぜ のち かなり からだ へや はじめ にわか
     得到 得出 得知 地方 地址 地图 之前 之后 之间 等待 等于 等级 的确""".split()
-_FINALS = "か ね よ な ぞ わ さ 吗 呢 吧 了 啊 啦 呀 嘛 ครับ ค่ะ คะ นะ จ้ะ แล้ว เลย".split()
+_FINALS = "か ね よ な ぞ わ さ 吗 呢 吧 了 啊 啦 呀 嘛".split()
 _ON = frozenset(",;:，、；：—–-→=+/&%…·")
 
 
@@ -99,12 +98,12 @@ def _composed(text: str) -> str:
     return text if text.isascii() else unicodedata.normalize("NFC", text)
 
 
-_SCRIPTS = re.compile("[\u0e00-\u0e7f\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff]+")
-_WORD_FORM = re.compile("[\u0e00-\u0e7f]+|[\u3040-\u309f]+|[\u30a0-\u30ff]+|[\u3400-\u9fff]+[\u3040-\u309f]*")
+_SCRIPTS = re.compile("[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff]+")
+_WORD_FORM = re.compile("[\u3040-\u309f]+|[\u30a0-\u30ff]+|[\u3400-\u9fff]+[\u3040-\u309f]*")
 
 
 class WordLattice:
-    """Cheapest segmentation of text of a spaceless script: listed words cost 1, words of the vocabulary 1.5, other characters 2."""
+    """Cheapest segmentation of Chinese or Japanese text: listed words cost 1, words of the vocabulary 1.5, other characters 2."""
 
     def __init__(self, vocabulary: str | None):
         self.words: dict[str, tuple[float, str]] = {}
@@ -341,15 +340,9 @@ def terminator_path(block: str, vocabulary: str | None = None) -> list[int]:
     return out[::-1]
 
 
-def thai_gaps(block: str, vocabulary: str | None = None) -> list[int]:
-    """The spaces between two Thai letters that end a sentence: the space weighs as a mark, and a final particle before
-    it or an opening word behind it adds to that."""
-    out = []
-    for m in _GAPS.finditer(block):
-        final, behind = word_lattice(vocabulary).around(block, m.start(), m.end())
-        if WITHIN + (final == "final") + (behind == "opening") - AGAINST * (behind == "particle") > 0:
-            out.append(m.start())
-    return out
+def thai_gaps(block: str) -> list[int]:
+    """The spaces between two Thai letters; each ends a sentence."""
+    return [m.start() for m in _GAPS.finditer(block)]
 
 
 def sentence_spans(text: str, vocabulary: str | None = None) -> list[tuple[int, int]]:
@@ -359,7 +352,7 @@ def sentence_spans(text: str, vocabulary: str | None = None) -> list[tuple[int,
     for block in mask(text).split(_BREAK):
         if _WORD.search(block):
             cuts = [0, *terminator_path(block, vocabulary)]
-            if gaps := thai_gaps(block, vocabulary) if not block.isascii() else []:
+            if gaps := thai_gaps(block) if not block.isascii() else []:
                 cuts = sorted({*cuts, *gaps})
             for a, b in zip(cuts, [*cuts[1:], len(block)]):
                 part = block[a:b]

@@ -66,6 +66,10 @@ def test_thai_gaps_are_cut_whatever_stands_around_them():
     assert split("ดีครับ แต่ช้า ที่นี่") == ["ดีครับ", "แต่ช้า", "ที่นี่"]
 
 
+def test_thai_gaps_ask_no_word_lattice():
+    assert sentence_spans("ดีครับ แต่ช้า ที่นี่", "/no/vocabulary") == [(0, 6), (7, 13), (14, 20)]
+
+
 def test_terminator_lattice_weighs_the_whole_block():
     assert split('It says "Stop. Go. Wait." and ends. Next.') == ['It says "Stop. Go. Wait." and ends.', "Next."]
     assert split('An open " quote. Then one. And more.') == ['An open " quote.', "Then one.", "And more."]
