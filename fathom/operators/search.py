@@ -19,6 +19,8 @@ K1, B = 1.2, 0.75
 RRF_K = 60
 #: So many (query, phrase) rows go to the tasks at once; more are more blocks, and each block reads the documents.
 BLOCK_PHRASES = 200_000
+#: So many hits a task keeps back to see whether better ones come; more are passed on.
+TASK_HITS = 4_000_000
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -246,6 +248,89 @@ class PhraseBlock:
         doc_kind = matched.schema["doc"].dataType.simpleString()
         return matched.select("doc", "dl", "ph", "tf").where(F.size("ph") > 0).mapInArrow(run, f"qid {kind}, doc {doc_kind}, raw double")
 
+    def most_held(self, matched: DataFrame, kind: str, cells: int = 4_000_000) -> DataFrame:
+        """(qid, doc, hit): of each query the best k documents of each task by the weight of its phrases among ``held``, their numbers.
+
+        A task reads its documents in the order of their ids, so a later one counts only if it weighs more than the
+        worst of k seen before. Phrases that fill much of a batch are summed by a matrix product, the rest singly.
+        """
+        place = np.full(max(self.number) + 2, -1)
+        place[list(self.number)] = np.arange(len(self.words))
+        asked = np.array(sorted(self.asked), np.int64).reshape(-1, 3)
+        first = np.searchsorted(asked[:, 0], np.arange(len(self.words) + 1))
+        which, who, weight = asked[:, 0], asked[:, 1], asked[:, 2].astype(np.float32)
+        asks = np.diff(first)
+        queries, most = self.queries, np.array(self.most)
+        heaviest, limit = int(np.bincount(who, asked[:, 2]).max()), TASK_HITS
+        step = max(64, cells // len(queries))
+
+        def scores(n: int, row: np.ndarray, ph: np.ndarray) -> np.ndarray:
+            score = np.zeros((len(queries), n), np.float32)
+            # a dense product costs a three-hundredth of what single additions cost, for all of the matrix
+            dense = asks * np.bincount(ph, minlength=len(asks)) * 300 > len(queries) * n
+            heavy = np.flatnonzero(dense)
+            for at in range(0, len(heavy), 512):
+                some = heavy[at : at + 512]
+                number = np.full(len(asks), -1)
+                number[some] = np.arange(len(some))
+                own, here = number[which] >= 0, number[ph] >= 0
+                left, right = np.zeros((len(queries), len(some)), np.float32), np.zeros((len(some), n), np.float32)
+                left[who[own], number[which[own]]] = weight[own]
+                right[number[ph[here]], row[here]] = 1
+                score += left @ right
+            row, ph = row[~dense[ph]], ph[~dense[ph]]
+            ends = np.cumsum(asks[ph])
+            cuts = np.searchsorted(ends, np.arange(0, ends[-1] if len(ends) else 0, 1_000_000))
+            for at, to in zip(cuts, [*cuts[1:], len(ph)]):
+                times = asks[ph[at:to]]
+                own = np.arange(times.sum()) + np.repeat(first[ph[at:to]] - np.cumsum(times) + times, times)
+                np.add.at(score.reshape(-1), who[own] * n + np.repeat(row[at:to], times), weight[own])
+            return score
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            # a document must weigh more; of a query without k none does
+            floor = np.where(most > 0, 0, np.inf).astype(np.float32)
+            ids: list[pa.Array] = []
+            read, size = 0, 64
+            kept = [np.empty(0, np.int64)] * 3  # query, hit, document by its number in the task
+            new: list[list[np.ndarray]] = []
+
+            def settle() -> list[np.ndarray]:
+                q, hit, d = (np.concatenate(x) for x in zip(kept, *new))
+                new.clear()
+                # stable, so that of equal hits the earlier documents stay
+                order = np.argsort(q * (heaviest + 1) + heaviest - hit, kind="stable")
+                q, hit, d = q[order], hit[order], d[order]
+                rank = np.arange(len(q)) - np.searchsorted(q, np.arange(len(queries)))[q]
+                last = rank == most[q] - 1
+                floor[q[last]] = np.maximum(floor[q[last]], hit[last])
+                return [x[rank < most[q]] for x in (q, hit, d)]
+
+            def rows(q: np.ndarray, hit: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
+                docs = pa.concat_arrays(ids).take(pa.array(d)) if ids else pa.array([], pa.string())
+                return pa.RecordBatch.from_arrays([pa.array([queries[i] for i in q], _arrow(kind)), docs, pa.array(hit)], ["qid", "doc", "hit"])
+
+            for whole in batches:
+                ids.append(whole.column(0))
+                at = 0
+                while at < whole.num_rows:
+                    batch = whole.slice(at, size)
+                    n = batch.num_rows
+                    ph = place[np.minimum(batch.column(1).flatten().to_numpy(), len(place) - 1)]
+                    row = np.repeat(np.arange(n), pc.list_value_length(batch.column(1)).to_numpy())[ph >= 0]
+                    score = scores(n, row, ph[ph >= 0])
+                    cell = np.flatnonzero(score > floor[:, None])
+                    new.append([cell // n, score.reshape(-1)[cell].astype(np.int64), cell % n + read])
+                    if sum(len(x[0]) for x in new) > max(limit // 40, len(kept[0]) // 2):
+                        kept = settle()
+                    if len(kept[0]) > limit:  # the floors hold for what follows
+                        yield rows(*kept)
+                        kept = [x[:0] for x in kept]
+                    at, read, size = at + n, read + n, min(size * 2, step)
+            yield rows(*settle())
+
+        return matched.select("doc", "held").sortWithinPartitions("doc").mapInArrow(run, f"qid {kind}, doc string, hit bigint")
+
 
 def _arrow(kind: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
@@ -296,46 +381,52 @@ def keyword_overlap(queries: DataFrame, docs: DataFrame, k: int | str, qid: str
                     columns: tuple[str, ...] = ("path", "symbol_name", "content"), block: int = 100_000) -> DataFrame:
     """(qid, doc, score, rank): the share of a query's terms (words longer than two) that occur anywhere in a document's text.
 
-    The distinct terms go to the tasks in blocks as one automaton, which reads each document once; only
-    (term, document) matches are joined with the queries.
+    The distinct terms go to the tasks in blocks as one automaton, which reads each document once; what a document
+    holds is written as one row of term numbers. Queries then go to those rows in blocks, and hits are summed where
+    the documents are, so only k rows a query and task are shuffled. Rows of one id are one document.
     """
     import ahocorasick
 
-    terms = queries.select(F.col(qid).alias("qid"), F.explode(F.split(F.lower(text), "[^A-Za-z0-9_]+")).alias("term")).where(F.length("term") > 2)
+    kind = queries.select(F.col(qid).alias("q")).schema["q"].dataType.simpleString()
+    terms = queries.select(F.col(qid).alias("qid"), F.explode(F.split(F.lower(text), "[^A-Za-z0-9_]+")).alias("term"))
+    terms = terms.where((F.length("term") > 2) & F.col("qid").isNotNull())
     total = terms.groupBy("qid").agg(F.count(F.lit(1)).alias("total"))
-    weights = terms.groupBy("qid", "term").agg(F.count(F.lit(1)).alias("w"))
+    # in one partition the ids count from 0
+    numbered = materialize(terms.select("term").distinct().repartition(1).withColumn("n", F.monotonically_increasing_id().cast("int")), "terms")
     hay = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in columns]))
-    source = docs.select(F.col(doc).cast("string").alias("doc"), hay.alias("hay"))
+    source = docs.select(F.col(doc).cast("string").alias("doc"), hay.alias("hay")).where(F.col("doc").isNotNull())
     found = None
 
-    def scan(part: list[str]) -> DataFrame:
+    def scan(part: list[tuple[str, int]]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             machine = ahocorasick.Automaton()
-            for t in part:
-                machine.add_word(t, t)
+            for t, n in part:
+                machine.add_word(t, n)
             machine.make_automaton()
             for batch in batches:
-                ids, hits = [], []
-                for d, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    for t in {t for _, t in machine.iter(h)}:
-                        ids.append(d)
-                        hits.append(t)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(hits, pa.string())], ["doc", "term"])
-
-        return source.mapInArrow(run, "doc string, term string")
-
-    part: list[str] = []
-    for row in terms.select("term").distinct().toLocalIterator():
-        part.append(row["term"])
+                held = [list({n for _, n in machine.iter(h)}) for h in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.list_(pa.int32()))], ["doc", "held"])
+
+        return source.mapInArrow(run, "doc string, held array<int>").where(F.size("held") > 0)
+
+    part: list[tuple[str, int]] = []
+    for row in numbered.toLocalIterator():
+        part.append((row["term"], row["n"]))
         if len(part) == block:
             found = scan(part) if found is None else found.unionByName(scan(part))
             part = []
     if part:
         found = scan(part) if found is None else found.unionByName(scan(part))
     if found is None:
-        return queries.sparkSession.createDataFrame([], "qid string, doc string, score double, rank int")
-    scored = weights.join(found, "term").groupBy("qid", "doc").agg(F.sum("w").alias("hit")).join(total, "qid")
-    scored = scored.select("qid", "doc", (F.col("hit") / F.col("total")).alias("score"))
+        return queries.sparkSession.createDataFrame([], f"qid {kind}, doc string, score double, rank int")
+    matched = materialize(found.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("held"))).alias("held")), "held")
+    weights = terms.groupBy("qid", "term").agg(F.count(F.lit(1)).alias("weight")).join(numbered, "term")
+    weights = weights.select("qid", F.col("n").alias("ph"), F.array("term").alias("words"), "weight")
+    out = None
+    for some in _phrase_blocks(queries, weights, qid, k, BLOCK_PHRASES):
+        best = some.most_held(matched, kind)
+        out = best if out is None else out.unionByName(best)
+    scored = out.join(total, "qid").select("qid", "doc", (F.col("hit") / F.col("total")).alias("score"))
     return top_k_each(scored, queries, qid, k, [F.col("score").desc(), F.col("doc")]).select("qid", "doc", "score", "rank")
 
 

@@ -413,7 +413,9 @@ def bm25_phrase(spark, d):
 ), SC AS (SELECT W.qid, doc, sum(w)::DOUBLE / any_value(len(T.terms)) AS score FROM W JOIN M USING (term) JOIN T ON T.qid = W.qid GROUP BY W.qid, doc)
 SELECT qid, doc, round(score, 9) AS score, rank::INTEGER AS rank FROM (SELECT SC.*, T.k, row_number() OVER (PARTITION BY SC.qid ORDER BY score DESC, doc) AS rank FROM SC JOIN T ON T.qid = SC.qid) WHERE rank <= k""")
 def keyword_overlap(spark, d):
-    return _scored(search.keyword_overlap(table(spark, d, "searches"), _code(spark, d), "k"), "doc")
+    # chunks that are delivered again are one document to it, so their texts need no shuffle
+    code = table(spark, d, "chunks").where("id is not null").select("id", *_CODE)
+    return _scored(search.keyword_overlap(table(spark, d, "searches"), code, "k"), "doc")
 
 
 _RANKS = "SELECT qid, chunk_id AS doc, rank, CASE source WHEN 'vector' THEN 0 ELSE 1 END AS src, CASE source WHEN 'vector' THEN 1.0::DOUBLE ELSE 0.3::DOUBLE END AS weight FROM H WHERE source IN ('vector', 'keyword')"

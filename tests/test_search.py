@@ -114,6 +114,60 @@ def test_keyword_overlap(spark):
     assert search.keyword_overlap(qs.limit(0), docs(spark), 10).count() == 0
 
 
+def plain_overlap(qs, texts):
+    """{qid: [(doc, score)]}: the first k of each (qid, query, k) over {doc: text}, worked out query by query."""
+    import re
+
+    out = {}
+    for q, text, k in qs:
+        terms = [t for t in re.split("[^a-z0-9_]+", text.lower()) if len(t) > 2]
+        hit = {d: sum(t in h for t in terms) for d, h in texts.items()}
+        best = sorted((-n, d) for d, n in hit.items() if n)[:k]
+        if best:
+            out[q] = [(d, -n / len(terms)) for n, d in best]
+    return out
+
+
+@pytest.mark.parametrize("block, asked", [(100_000, 200_000), (7, 60)])
+def test_keyword_overlap_passes_on_only_the_best_of_each_task(spark, monkeypatch, block, asked):
+    r = random.Random(11)
+    words = [f"w{i:02}x" for i in range(40)] + ["common", "frequent"]
+    text = lambda n: " ".join(["common"] + r.choices(words, k=n))
+    ds = [(f"d{r.randrange(10**9):09}", text(r.randrange(1, 12))) for _ in range(1500)]
+    qs = [(f"q{i:03}", text(r.randrange(1, 9)), r.choice([0, 1, 3, 8])) for i in range(60)] + [("none", "a of !", 3), ("all", "common", 2000), ("null", None, 2)]
+    passed = []
+    plain = search.top_k_each
+    monkeypatch.setattr(search, "top_k_each", lambda rows, *a: passed.append(rows) or plain(rows, *a))
+    monkeypatch.setattr(search, "BLOCK_PHRASES", asked)
+    out = search.keyword_overlap(
+        spark.createDataFrame(qs, "qid string, query string, k int"), spark.createDataFrame(ds, "id string, content string").repartition(4), "k", columns=("content",), block=block)
+    got = {}
+    for row in out.orderBy("qid", "rank").collect():
+        got.setdefault(row["qid"], []).append((row["doc"], row["score"]))
+    want = plain_overlap([(q, t or "", k) for q, t, k in qs], dict(ds))
+    assert {q: [d for d, _ in x] for q, x in got.items()} == {q: [d for d, _ in x] for q, x in want.items()}
+    assert all(abs(a[1] - b[1]) < 1e-12 for q in want for a, b in zip(got[q], want[q]))
+    # every query meets all 1,500 documents, for "common" is in each; at most k rows of it leave each of at most 8 tasks
+    assert passed[0].where("qid <> 'all'").count() <= 8 * sum(k for _, _, k in qs[:60]) < 60 * 1500 / 10
+
+
+def test_keyword_overlap_counts_rows_of_one_id_once(spark):
+    qs = spark.createDataFrame([("q", "domain thing get domain")], "qid string, query string")
+    got = search.keyword_overlap(qs, docs(spark).unionByName(docs(spark)), 10).collect()
+    assert {r["doc"]: r["score"] for r in got} == {"1": 0.75, "2": 0.25, "3": 0.25} and len(got) == 3
+
+
+def test_keyword_overlap_hands_on_early_when_much_is_kept(spark, monkeypatch):
+    """What a task may keep comes out in several lots where it is less than k of each query, and nothing twice."""
+    monkeypatch.setattr(search, "TASK_HITS", 400)
+    qs = spark.createDataFrame([(f"q{i:02}", f"common t{i:02}x") for i in range(40)], "qid string, query string")
+    ds = spark.createDataFrame([(f"d{i:03}", f"common t{i % 40:02}x") for i in range(200)], "id string, content string").coalesce(1)
+    out = search.keyword_overlap(qs, ds, 2_000_000_000, columns=("content",))
+    assert out.agg(F.count(F.lit(1)), F.countDistinct("qid", "doc"), F.sum((F.col("score") == 1).cast("int"))).first() == (8000, 8000, 200)
+    few = search.keyword_overlap(qs, ds, 20, columns=("content",)).where("qid = 'q03'").orderBy("rank").collect()
+    assert [r["doc"] for r in few] == [f"d{i:03}" for i in (3, 43, 83, 123, 163, *[i for i in range(16) if i != 3])]
+
+
 def hits(spark, rows):
     return spark.createDataFrame(rows, "qid string, doc string, rank int")
 
